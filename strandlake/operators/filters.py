@@ -61,7 +61,7 @@ def split_alts(variants: DataFrame, info_numbers: dict[str, str] | None = None,
 
     def recoded(gt):
         digits = F.transform(F.split(gt, "[/|]"), lambda v: F.when(v == ".", ".").when(v == a.cast("string"), "1").otherwise("0"))
-        return F.array_join(digits, F.when(gt.contains("|"), "|").otherwise("/"))
+        return F.call_function("array_join", digits, F.when(gt.contains("|"), "|").otherwise("/"))
 
     info = F.map_from_entries(F.transform(F.map_entries("info"), lambda e: F.struct(
         e["key"].alias("key"), kept(info_numbers, e["key"], e["value"]).alias("value"))))

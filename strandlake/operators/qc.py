@@ -31,7 +31,7 @@ def qc_basic_stats(reads: DataFrame) -> DataFrame:
 def qc_per_base_quality(reads: DataFrame) -> DataFrame:
     """Mean and exact percentiles by cycle. Counts per (cycle, quality) come first, so a cycle is at most 94 rows."""
     counts = _cycles(reads).groupBy("cycle", "q").agg(F.count(F.lit(1)).alias("n"))
-    p = lambda x: F.percentile("q", F.lit(x), "n")
+    p = lambda x: F.percentile("q", F.lit(x), F.col("n"))
     return counts.groupBy("cycle").agg(
         F.round(F.sum(F.col("q") * F.col("n")) / F.sum("n"), 6).alias("mean"), p(0.5).alias("median"),
         p(0.25).alias("q1"), p(0.75).alias("q3"), p(0.1).alias("p10"), p(0.9).alias("p90"))

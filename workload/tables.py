@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.sources.fasta import tiles_from_pieces
+from strandlake.sources.store import scratch_path
 from strandlake.sources.vcf import parse_vcf
 
 SOURCES = ["orders", "lineitem", "part", "supplier", "events"]
@@ -197,9 +198,32 @@ def _spark_text(name: str, gapped: bool) -> str:
     return f"with {ctes(gapped)} select * from {name}".replace('"end"', "`end`")
 
 
+def _source(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table. The small ones are a single row group, which one task would read and expand alone: such a scan is
+    spread over the cores first. A table with enough splits is left as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("orders", "lineitem") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+_STORED: dict[tuple, str] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str, gapped: bool = True) -> DataFrame:
-    sources = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in SOURCES}
-    return spark.sql(_spark_text(name, gapped), **sources)
+    """A derived table, stored as Parquet in the scratch folder the first time a session asks for it.
+
+    Stored rows are what the operators work on in practice. Left as expressions, the derivation would be repeated inside
+    every predicate that the optimizer pushes down to it.
+    """
+    key = (spark.sparkContext.applicationId, sf, name, gapped)
+    if key not in _STORED:
+        sources = {t: _source(spark, sf, t) for t in SOURCES}
+        path = scratch_path(spark, f"derived-{name}")
+        spark.sql(_spark_text(name, gapped), **sources).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def ref_tiles(spark, sf, tile: int = 4096, overlap: int = 1024) -> DataFrame:
