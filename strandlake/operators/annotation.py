@@ -2,6 +2,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.sources.store import materialize
+
 BIN = 16_384
 
 # Consequence terms from most to least severe, with their impact.
@@ -67,6 +69,7 @@ def consequences(variants: DataFrame, features: DataFrame, upstream: int = 5000,
     per_transcript = hits.groupBy(*keys).agg(
         F.max(F.when(is_transcript, about)).alias("t"), F.max(F.col("feature") == "exon").alias("in_exon"),
         F.max(F.col("feature") == "CDS").alias("in_cds")).filter(F.col("t").isNotNull())
+    per_transcript = materialize(per_transcript, "near-transcripts")  # read twice: to describe the hits, and to find alleles without one
     t = lambda c: F.col(f"t.{c}")
     forward = t("strand") == "+"
     before, after = t("v_end") < t("f_start"), t("v_start") > t("f_end")

@@ -33,22 +33,20 @@ def lookup(left: DataFrame, right: DataFrame, on, salt_on, how: str = "inner", m
 HOT_SHARE = 10_000  # a key is hot from 1/10,000 of the rows on, so there are at most 10,000 hot keys
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, copies: str = "copies") -> DataFrame:
-    """Left join to one row per ``key`` where ``right`` knows how many left rows (``copies``) each key has.
+def join_counted(left: DataFrame, right: DataFrame, counts: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """Left join to at most one row of ``right`` per key; ``counts (key, copies)`` tells how many left rows a key has.
 
     Keys with at least 1/10,000 of all rows number at most 10,000, so their rows are broadcast; every other key is
-    shuffled and holds too few rows to unbalance a task. Left rows that found their hot key are spread over the shuffle
-    under keys of their own. ``right`` should be a stored table: it is read three times.
+    shuffled and holds too few rows to unbalance a task. Left rows with a hot key are spread over the shuffle under keys of
+    their own. ``right`` and ``counts`` should be stored tables: both are read twice.
     """
-    total = right.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()["n"]
-    is_hot = F.col(copies) * HOT_SHARE >= total
-    rest = [c for c in right.columns if c not in (key, copies)]
-    value = F.struct(*rest) if rest else F.struct(F.lit(True).alias("_"))
-    hot = F.broadcast(right.filter(is_hot).select(F.col(key), value.alias("_hot")))
-    cold = right.filter(~is_hot).select(F.col(key).alias("_key"), value.alias("_cold"))
-    spread = F.concat(F.lit("#"), F.xxhash64(*left.columns).cast("string")) if left.schema[key].dataType.typeName() == "string" \
-        else F.lit(None).cast(left.schema[key].dataType)
-    first = left.join(hot, key, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    total = counts.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()["n"]
+    hot_keys = F.broadcast(counts.filter(F.col(copies) * HOT_SHARE >= total).select(key))
+    rest = [c for c in right.columns if c != key]
+    value = F.struct(*rest)
+    hot = F.broadcast(hot_keys.join(right.select(key, value.alias("_hot")), key, "left").withColumn("_is_hot", F.lit(True)))
+    cold = right.join(hot_keys, key, "left_anti").select(F.col(key).alias("_key"), value.alias("_cold"))
+    spread = F.concat(F.lit("#"), F.xxhash64(*left.columns).cast("string"))
+    first = left.join(hot, key, "left").withColumn("_key", F.when(F.col("_is_hot"), spread).otherwise(F.col(key)))
     both = first.join(cold, "_key", "left").withColumn("_row", F.coalesce("_hot", "_cold"))
     return both.select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest])

@@ -86,9 +86,9 @@ def genotypes_long(spark, sf):
 
 
 @query("alleles_split", t.duck(f"""select contig, pos, ref, string_split(alts, ',')[a] as alt, cast(a as int) as allele, sample,
-  array_to_string(list_transform(string_split_regex(f[1], '[/|]'), lambda x: case when x = cast(a as varchar) then '1' else '0' end), case when contains(f[1], '|') then '|' else '/' end) as gt,
+  concat(case when string_split_regex(f[1], '[/|]')[1] = cast(a as varchar) then '1' else '0' end, case when contains(f[1], '|') then '|' else '/' end, case when string_split_regex(f[1], '[/|]')[2] = cast(a as varchar) then '1' else '0' end) as gt,
   concat_ws(',', string_split(f[2], ',')[1], string_split(f[2], ',')[a + 1]) as ad,
-  concat_ws(',', string_split(f[5], ',')[1], string_split(f[5], ',')[a * (a + 1) // 2 + 1], string_split(f[5], ',')[a * (a + 1) // 2 + a + 1]) as pl,
+  concat_ws(',', string_split(f[5], ',')[1], string_split(f[5], ',')[case a when 1 then 2 else 4 end], string_split(f[5], ',')[case a when 1 then 3 else 6 end]) as pl,
   case when length(ref) = 1 and length(string_split(alts, ',')[a]) = 1 then 'snp' when length(ref) = 1 then 'ins' else 'del' end as class,
   case when a = 2 then '0.25' else '0.5' end as af
   from (select *, string_split(g, ':') as f, unnest(generate_series(1, len(string_split(alts, ',')))) as a from ({GENOTYPES}))"""))
