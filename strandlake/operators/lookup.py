@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000  # a right side is broadcast only after its rows were counted against this
-SALTS = 16
+SALTS = 8
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

@@ -38,9 +38,7 @@ def qc_per_base_quality(reads: DataFrame) -> DataFrame:
 
 
 def qc_per_read_quality(reads: DataFrame) -> DataFrame:
-    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("quals")),
-                                    lambda i: F.ascii(F.substring(F.col("quals"), i, F.lit(1))) - PHRED_OFFSET),
-                        F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.split("quals", ""), F.lit(0), lambda a, c: a + F.ascii(c)) - PHRED_OFFSET * F.length("quals")
     return (reads.filter(F.length("quals") > 0)
             .groupBy(F.floor(total / F.length("quals")).alias("mean_quality")).agg(F.count(F.lit(1)).alias("reads")))
 

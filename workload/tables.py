@@ -227,8 +227,13 @@ def table(spark: SparkSession, sf: str, name: str, gapped: bool = True) -> DataF
 
 
 def ref_tiles(spark, sf, tile: int = 4096, overlap: int = 1024) -> DataFrame:
-    chunks = table(spark, sf, "chunks")
-    return tiles_from_pieces(chunks.select("contig", (F.col("chunk") * 32).alias("offset"), "bases"), tile, overlap)
+    """The genome as stored tiles."""
+    key = (spark.sparkContext.applicationId, sf, "ref_tiles", tile, overlap)
+    if key not in _STORED:
+        chunks = table(spark, sf, "chunks").select("contig", (F.col("chunk") * 32).alias("offset"), "bases")
+        _STORED[key] = scratch_path(spark, "ref-tiles")
+        tiles_from_pieces(chunks, tile, overlap).write.parquet(_STORED[key])
+    return spark.read.parquet(_STORED[key])
 
 
 def alignments(spark, sf) -> DataFrame:
