@@ -71,11 +71,18 @@ def sort_by_reference_position(alignments: DataFrame, seq_dict: DataFrame) -> Da
 def attach_reference(rows: DataFrame, ref_tiles: DataFrame, salt_on, pos: str = "pos", length: Column | int = 1,
                      name: str = "ref_base", tile: int = TILE, upper: bool = True) -> DataFrame:
     """Reference bases ``[pos, pos + length)`` of each row by an equi join on the tile; ``length`` is at most OVERLAP."""
-    tiles = ref_tiles.select("contig", F.col("tile").alias("_tile"), F.col("bases").alias("_tile_bases"))
+    tiles = ref_tiles.select("contig", F.col("tile").alias("_tile"), F.col("start").alias("_tile_start"), F.col("bases").alias("_tile_bases"))
     joined = lookup(rows.withColumn("_tile", F.floor((F.col(pos) - 1) / tile)), tiles, ["contig", "_tile"], salt_on, "left")
     size = length if isinstance(length, Column) else F.lit(length)
-    bases = F.substring("_tile_bases", ((F.col(pos) - 1) % tile + 1).cast("int"), size.cast("int"))
-    return joined.withColumn(name, F.upper(bases) if upper else bases).drop("_tile", "_tile_bases")
+    bases = F.substring("_tile_bases", offset_in_tile(F.col(pos), F.col("_tile_start"), tile), size.cast("int"))
+    return joined.withColumn(name, F.upper(bases) if upper else bases).drop("_tile", "_tile_start", "_tile_bases")
+
+
+def offset_in_tile(pos: Column, start: Column, tile: int) -> Column:
+    """1-based place of ``pos`` in its tile; an error when the reference was cut into tiles of another size."""
+    at = pos - start + 1
+    return F.when(start.isNull() | at.between(1, tile), at).otherwise(
+        F.raise_error(F.lit(f"the reference is not cut into tiles of {tile} bases"))).cast("int")
 
 
 def depth_events(alignments: DataFrame, tile: int = DEPTH_TILE, by=("contig",)) -> DataFrame:
