@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.lookup import lookup
-from strandlake.sources.sam import write_sorted_text
+from strandlake.sources.sam import origin, write_sorted_text
 
 # Reserved FORMAT and INFO keys whose Number the specification sets.
 RESERVED_NUMBERS = {"AD": "R", "ADF": "R", "ADR": "R", "PL": "G", "GL": "G", "AC": "A", "AF": "A"}
@@ -71,7 +71,7 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
 
 def read_vcf(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """``(variants, vcf_header)``. Sample names come from the column line of the file a record is in."""
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    raw = spark.read.text(paths).select("value", origin().alias("source_file"))
     names = raw.filter(F.col("value").startswith("#CHROM\t")).select(
         "source_file", F.slice(F.split("value", "\t"), 10, 1 << 30).alias("sample_names")).dropDuplicates(["source_file"])
     sites = raw.filter(~F.col("value").startswith("#"))

@@ -110,9 +110,9 @@ def read_groups(spark, sf):
     return readgroups.assign_read_group(rows, groups=groups).groupBy("sample", "rg_id", "library", "platform").agg(F.count(F.lit(1)).alias("reads"))
 
 
-@query("recoded_sites", t.duck("""select contig, pos, ref, alt as alts, '.' as info, g1 from variants where try_cast(qual as double) >= 1000"""))
+@query("recoded_sites", t.duck("""select contig, pos, ref, alt as alts, '.' as info, g1 from variants where try_cast(qual as double) >= 905"""))
 def recoded_sites(spark, sf):
-    kept = filters.recode(filters.min_qual(t.variants(spark, sf), 1000), keep_info=False)
+    kept = filters.recode(filters.min_qual(t.variants(spark, sf), 905), keep_info=False)
     cell = F.col("genotypes")[0]["fields"]
     return kept.select("contig", "pos", "ref", F.array_join("alts", ",").alias("alts"), format_info(F.col("info")).alias("info"),
                        F.concat_ws(":", *[F.element_at(cell, k) for k in ("GT", "AD", "DP", "GQ", "PL")]).alias("g1"))
