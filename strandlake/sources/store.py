@@ -1,5 +1,8 @@
 """Parquet stores: scratch tables, stage outputs and the region-addressable alignment store."""
+import atexit
 import json
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -8,15 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BIN = 1 << 20  # bases per directory of the region store
+_OWN: list[str] = []  # folder of this process, where no shared one is named
+_WRITTEN: list[str] = []  # scratch tables of this process
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder named by ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in this one process gets a folder of its own, removed at exit; a session with
+    other machines is refused, because these could not see such a folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="strandlake-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path below ``scratch_root``, remembered for ``clear_scratch``."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables of this process, for the end of a run: frames that read them can't be used any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -11,9 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-               .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate())
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
+               .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return session
 
