@@ -14,8 +14,6 @@ from strandlake.operators.lookup import lookup
 from strandlake.sources.store import materialize
 
 SPACE = r"[\x20\x09-\x0D]"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -72,15 +70,16 @@ def text_counts(docs: DataFrame) -> DataFrame:
     lists = F.create_map(*[x for k, words in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, words)))])
     known = sorted({w for words in COMMON_WORDS.values() for w in words})
     base = base.withColumn("list", F.try_element_at(lists, F.coalesce("lang", F.lit(""))))
-    hits = F.filter(F.transform("w", lambda w: F.lower(w)), lambda w: w.isin(known))
+    short = F.filter("w", lambda w: F.length(w) <= max(map(len, known)))
+    hits = F.filter(F.transform(short, lambda w: F.lower(w)), lambda w: w.isin(known))
     base = base.withColumn("hits", F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")))
     hits = F.col("hits")
     common = [F.coalesce(((F.length(hits) - F.length(F.replace(hits, F.concat(F.lit(" "), F.col("list")[k], F.lit(" ")), F.lit(""))))
                           / (F.length(F.col("list")[k]) + 2)).cast("long"), F.lit(0).cast("long")) for k in range(N_WORDS)]
     t = F.col("t")
     n_words, length = F.size("w").cast("long"), F.length(t).cast("long")
-    word_chars = F.length(F.translate(t, SPACES, "")).cast("long")
-    n_symbols = length - F.length(F.translate(t, SYMBOLS, ""))
+    word_chars = F.length(F.array_join("w", "")).cast("long")
+    n_symbols = _count_in(t, r"[#*$%&|<>]")
     seen = [_count_in(t, r"\p{Lu}").cast("long"), _count_in(t, "[0-9]").cast("long"), _count_in(t, r"""[.,;:!?'"()\-]""").cast("long"),
             n_symbols.cast("long"), length - word_chars]
     counts = base.select("doc_id", "lang", n_words.alias("n_words"), word_chars.alias("word_chars"), n_symbols.cast("long").alias("n_symbols"),
