@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import oracles
 from strandlake.llm.divergence import judge
+from strandlake.llm.edit_leaks import find_leaks
 from strandlake.llm.hash_tree import even_tree, grown, shard_documents
+from strandlake.llm.jaccard_regions import link_documents
 from strandlake.llm.line_spread import remove_spread_lines
 
 QUERIES = {}
@@ -38,8 +40,20 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query()
+def op6_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of benchmark items in documents, with up to a fifth of the words edited."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(oracles.OP9)
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the divergence from the language's histograms."""
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a shingle similarity of 0.8 or more."""
+    return link_documents(table(spark, sf_dir, "documents"))
