@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import oracles
+from strandlake.llm.curve_packing import pack_documents
 from strandlake.llm.divergence import judge
 from strandlake.llm.edit_leaks import find_leaks
 from strandlake.llm.hash_tree import even_tree, grown, shard_documents
@@ -46,6 +47,12 @@ def op6_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 ids along the Hilbert curve of document vectors."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query(oracles.OP9)
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the divergence from the language's histograms."""
