@@ -37,6 +37,22 @@ def _crc_step() -> str:
     return step(step("xor(c, b)"))
 
 
+OP1 = """
+WITH ends AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY conv_id),
+kept AS (SELECT c.conv_id, c.turn, c.role, c.text, e.last,
+        max(row(c.turn, c.role, c.text)) FILTER (c.turn < e.last) OVER (PARTITION BY c.conv_id) AS b FROM conversations c JOIN ends e USING (conv_id)),
+sides AS (SELECT *, coalesce(CASE WHEN turn = last THEN coalesce(b[3], '') ELSE text END, '') AS echo FROM kept WHERE last IS NULL OR turn <= last),
+marked AS (SELECT *, coalesce(min(CASE WHEN text IS DISTINCT FROM echo THEN turn END) OVER (PARTITION BY conv_id), 1000000) AS split,
+        '<|' || role || '|>' || chr(10) AS head FROM sides),
+parts AS (SELECT *, head || text || '<|end|>' || chr(10) AS a, head || echo || '<|end|>' || chr(10) AS r,
+        repeat('0', length(head)) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, length(text) + 8) AS am,
+        repeat('0', length(head)) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, length(echo) + 8) AS rm FROM marked)
+SELECT conv_id AS pair_id, count(*) FILTER (turn < split) AS prompt_turns, coalesce(string_agg(a, '' ORDER BY turn) FILTER (turn < split), '') AS prompt,
+    coalesce(string_agg(a, '' ORDER BY turn) FILTER (turn >= split), '') AS chosen, coalesce(string_agg(am, '' ORDER BY turn) FILTER (turn >= split), '') AS chosen_mask,
+    coalesce(string_agg(r, '' ORDER BY turn) FILTER (turn >= split), '') AS rejected, coalesce(string_agg(rm, '' ORDER BY turn) FILTER (turn >= split), '') AS rejected_mask
+FROM parts GROUP BY conv_id
+"""
+
 _TREE = even_tree(3, 2, 4)
 OP2 = f"""
 WITH keys AS (SELECT DISTINCT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),

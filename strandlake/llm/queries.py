@@ -9,6 +9,11 @@ from strandlake.llm.edit_leaks import find_leaks
 from strandlake.llm.hash_tree import even_tree, grown, shard_documents
 from strandlake.llm.jaccard_regions import link_documents
 from strandlake.llm.line_spread import remove_spread_lines
+from strandlake.llm.preference_pairs import completion, echo_pairs, format_pairs, mask
+from strandlake.llm.secret_forest import scan
+from strandlake.llm.site_bayes import score
+from strandlake.llm.warc import page_records, page_rows, read_warc, write_warc
+from strandlake.sources.store import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -27,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(oracles.OP1)
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with an echo as its last answer: prompt, completions and their masks."""
+    pairs = format_pairs(echo_pairs(table(spark, sf_dir, "conversations")))
+    return pairs.select("pair_id", "prompt_turns", "prompt", completion("chosen").alias("chosen"), mask("chosen").alias("chosen_mask"),
+                        completion("rejected").alias("rejected"), mask("rejected").alias("rejected_mask"))
+
+
 @query(oracles.OP2)
 def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards as 3 regions of 2 racks of 4 shards, and with a 25th."""
@@ -41,6 +54,20 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query()
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; trained on findings labelled by their form."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives, with revisits of equal payloads, and read back."""
+    path = scratch_path(spark, "warc")
+    write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    return page_rows(read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit") & F.col("record_id").startswith("<urn:page:")))
+
+
 @query()
 def op6_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of benchmark items in documents, with up to a fifth of the words edited."""
@@ -53,6 +80,13 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return score(docs, table(spark, sf_dir, "labels")).select("doc_id", "evidence", "prior", "quality", "keep")
+
+
 @query(oracles.OP9)
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the divergence from the language's histograms."""
