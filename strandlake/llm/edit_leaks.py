@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.words import mix, pieces, word_hashes
+from strandlake.operators.lookup import small_enough
+from strandlake.sources.store import materialize
 
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, distance int, item_words int"
 
@@ -218,5 +220,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, leaks: Leaks = Leaks()) -> Dat
 
 def drop_leaks(docs: DataFrame, items: DataFrame, leaks: Leaks = Leaks()) -> DataFrame:
     """``docs`` without the documents that hold an item. Rows with a null doc_id are dropped if any such row holds one."""
-    bad = find_leaks(docs, items, leaks).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = materialize(find_leaks(docs, items, leaks).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
+    return docs.join(F.broadcast(bad) if small_enough(bad) else bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")

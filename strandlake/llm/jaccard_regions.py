@@ -295,3 +295,11 @@ def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
     lowest = classes.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     joined = lookup(classes, lowest, "class", "doc_id", how="left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest doc_id. Rows that share a doc_id stay or go together;
+    rows without one stay."""
+    links = link_documents(docs, regions)
+    gone = materialize(links.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
