@@ -99,11 +99,13 @@ cov as (
 
 def recalibrated(src: str) -> str:
     """``recal``: ``src`` with rewritten qualities, after ``cells`` and ``cov`` of the same rows."""
-    e = "-10 * log10((sum(mismatches) + 1) / (sum(observations) + 2))"
+    rate = lambda parent: f"(sum(mismatches) + 1000 * {parent}) / (sum(observations) + 1000)"
+    micro = lambda p: f"cast(round(-10e6 * log10({p})) as int)"
     return f"""
-eb as (select rg_id, q, {e} as e from cov group by all),
-ec as (select c.rg_id, c.q, cycle, c.e - b.e as d from (select rg_id, q, cycle, {e} as e from cov group by all) c join eb b on c.rg_id = b.rg_id and c.q = b.q),
-ed as (select c.rg_id, c.q, dinuc, c.e - b.e as d from (select rg_id, q, dinuc, {e} as e from cov where dinuc is not null group by all) c join eb b on c.rg_id = b.rg_id and c.q = b.q),
+rates as (select rg_id, q, {rate("pow(10, -q / 10.0)")} as p from cov group by rg_id, q),
+eb as (select rg_id, q, {micro("p")} as e from rates),
+ec as (select c.rg_id, c.q, cycle, {micro(rate("p"))} - {micro("p")} as d from cov c join rates r on c.rg_id = r.rg_id and c.q = r.q group by c.rg_id, c.q, cycle, p),
+ed as (select c.rg_id, c.q, dinuc, {micro(rate("p"))} - {micro("p")} as d from cov c join rates r on c.rg_id = r.rg_id and c.q = r.q where dinuc is not null group by c.rg_id, c.q, dinuc, p),
 judged_cells as (
   select sample, rg_id, frag, flags, i, q, cast((case when rev then 50 - i else i + 1 end) * (case when (flags & 128) <> 0 then -1 else 1 end) as int) as cycle,
          case when prev is null or prev = 'N' or base = 'N' then null when rev then translate(concat(prev, base), 'ACGT', 'TGCA') else concat(prev, base) end as dinuc
@@ -112,7 +114,7 @@ judged_cells as (
 ),
 renewed as (
   select j.sample, j.frag, j.flags, string_agg(chr(cast(33 + case when b.e is null then j.q else
-           greatest(1, least(50, floor(b.e + coalesce(c.d, 0) + coalesce(d.d, 0) + 0.5))) end as int)), '' order by i) as quals
+           greatest(1, least(50, floor((b.e + coalesce(c.d, 0) + coalesce(d.d, 0) + 500000) / 1000000.0))) end as int)), '' order by i) as quals
   from judged_cells j left join eb b on j.rg_id = b.rg_id and j.q = b.q
   left join ec c on j.rg_id = c.rg_id and j.q = c.q and j.cycle = c.cycle
   left join ed d on j.rg_id = d.rg_id and j.q = d.q and j.dinuc = d.dinuc
