@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.lookup import lookup
+from strandlake.operators.lookup import BROADCAST_ROWS, lookup
 from strandlake.sources.store import materialize
 
 
@@ -19,14 +19,15 @@ def components(links: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
-        before = state
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = lookup(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
-        large = materialize(large, "links")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = lookup(large, low, "a", "b")
-        small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(joined.select("a", F.col("low").alias("b")))
+        before, few = state, state["n"] <= BROADCAST_ROWS  # minima are at most two to an edge
+
+        def hand(rows: DataFrame) -> DataFrame:
+            low = rows.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+            return rows.join(F.broadcast(low), "a") if few else lookup(rows, low, "a", "b")
+
+        large = hand(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b")
+        small = hand(large if few else materialize(large.distinct(), "links"))
+        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b")))
         edges = materialize(small.filter("a != b").distinct(), "links")
     root = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return root.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
