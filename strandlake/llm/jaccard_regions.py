@@ -184,7 +184,7 @@ class Region:
 
 
 def _link_groups(regions: Regions):
-    """Task over rows sorted by group: ``(group, node, part, hashes)`` to ``(node, root)``.
+    """Task over rows sorted by group: ``(group, node, part, hashes)`` to ``(group, a, b)``, node and root.
 
     ``part`` 0 are pivots that every group of a large region holds, 1 documents that are compared with all, 2 documents that are
     replicated from elsewhere and needn't be compared with each other.
@@ -198,36 +198,44 @@ def _link_groups(regions: Regions):
         return nodes, [nodes[region.find(i)] for i in range(len(nodes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, out = None, [], ([], [])
+        group, rows, out = None, [], ([], [], [])
+
+        def done():
+            nodes, roots = solve(rows) if rows else ([], [])
+            for column, x in zip(out, ([group] * len(nodes), nodes, roots)):
+                column.extend(x)
+
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(4)]
             for g, node, part, hashes in zip(*columns):
-                if g != group and rows:
-                    for column, x in zip(out, solve(rows)):
-                        column += x
+                if g != group:
+                    done()
                     rows = []
                 group = g
                 rows.append((part, node, hashes))
             if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-                out = ([], [])
-        if rows:
-            for column, x in zip(out, solve(rows)):
-                column += x
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["group", "a", "b"])
+                out = ([], [], [])
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["group", "a", "b"])
     return run
 
 
 def _in_groups(rows: DataFrame, regions: Regions) -> DataFrame:
-    """Links ``(a, b)`` found by joining each group of ``rows (group, node, part, hashes)`` in a task."""
-    return rows.select("group", "node", "part", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(regions), "a long, b long")
+    """Links ``(group, a, b)`` found by joining each group of ``rows (group, node, part, hashes)`` in a task."""
+    return rows.select("group", "node", "part", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(regions), "group long, a long, b long")
 
 
 def _regions(cells: DataFrame) -> DataFrame:
-    """``(node, region)`` of the nodes that share a cell with another one; ``cells (node, cells)``, a row per node."""
+    """``(node, region)`` of the nodes that share a cell with another one; ``cells (node, cells)``, where nodes may repeat.
+
+    A node links to the smallest node of all its cells, and so do the smallest nodes of each of them: a large group whose
+    members share many cells gives about one link a member, not one for each cell.
+    """
     rows = cells.select("node", F.explode("cells").alias("cell"))
-    shared = rows.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("cell", "low")
-    links = rows.join(shared, "cell").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    shared = materialize(rows.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("cell", "low"), "cells")
+    seen = rows.join(shared, "cell").groupBy("node").agg(F.min("low").alias("b"), F.collect_set("low").alias("lows"))  # at most one from each draw
+    links = seen.select(F.explode(F.array_union("lows", F.array("node"))).alias("a"), "b")
     return components(links).withColumnRenamed("root", "region")
 
 
@@ -254,14 +262,17 @@ def _large_regions(members: DataFrame, regions: Regions) -> DataFrame:
         return rows.withColumn("to", others).select(F.xxhash64("region", "to").alias("group"), "node", F.lit(part).alias("part"), "hashes")
 
     columns = ["group", "node", "part", "hashes"]
-    first = materialize(_in_groups(own.select(*columns).unionByName(spread(many.filter("part = 0"), 0)), regions), "block-links")
-    labels = components(first).withColumnRenamed("root", "label")
-    held = materialize(many.select("node", "region").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "block-labels")
-    main = held.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    # two documents outside of one component must meet: those that aren't in the main one go to all blocks
-    loose = many.join(lookup(held, main, "region", "node").filter("label != main").select("node"), "node", "left_semi")
-    second = _in_groups(many.select(*columns).unionByName(spread(loose, 2)), regions)
-    return first.unionByName(second)
+    first = _in_groups(own.select(*columns).unionByName(spread(many.filter("part = 0"), 0)), regions)
+    first = materialize(first, "block-links")
+    # documents that a pivot holds are in one component; others must meet each document outside of their block, too. The
+    # pivot that holds most is taken, and what it doesn't hold is replicated.
+    places = many.select("region", "group", F.col("node").alias("a"))
+    pivots = first.join(many.filter("part = 0").select("region", F.col("node").alias("a")).distinct(), "a").select("region", "group", F.col("a").alias("pivot"), "b")
+    held = materialize(first.join(places, ["group", "a"]).join(pivots.drop("region"), ["group", "b"]).select("region", "a", "pivot"), "block-held")
+    main = held.groupBy("region", "pivot").count().groupBy("region").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("main"))
+    kept = lookup(held, main, "region", "a").filter("pivot = main").select(F.col("a").alias("node"))
+    second = _in_groups(many.select(*columns).unionByName(spread(many.join(kept, "node", "left_anti"), 2)), regions)
+    return first.select("a", "b").unionByName(second.select("a", "b"))
 
 
 def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
@@ -276,10 +287,7 @@ def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
     sketch = texts.mapInArrow(_sketch(regions), "doc_id long, key long, node long, n_shingles long, cells array<long>")
     sketch = materialize(sketch, "sketches")
     full = sketch.filter("n_shingles > 0")
-    cells = full.select("node", F.explode("cells").alias("cell")).groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    shared = materialize(cells.select("cell", "low"), "cells")
-    rows = full.select("node", F.explode("cells").alias("cell")).join(shared, "cell").filter("node != low")
-    region = materialize(components(rows.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("root", "region"), "regions")
+    region = materialize(_regions(full), "regions")
     named = materialize(full.groupBy("node").agg(F.min("key").alias("key")).join(region, "node"), "named")
     chosen = texts.join(F.broadcast(named) if small_enough(named) else named, "key").select("node", "region", "text")
     members = chosen.mapInArrow(_members(regions), "node long, region long, hashes binary").dropDuplicates(["node"])
@@ -288,9 +296,9 @@ def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
     large = materialize(sizes.filter(F.col("n") > regions.task_nodes).select("region"), "large")
     tasks = members if large.isEmpty() else members.join(large, "region", "left_anti")
     links = _in_groups(tasks.select(F.col("region").alias("group"), "node", F.lit(1).alias("part"), "hashes"), regions)
+    root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     if not large.isEmpty():
-        links = materialize(links, "links").unionByName(_large_regions(materialize(members.join(large, "region"), "large-members"), regions))
-    root = components(links) if not large.isEmpty() else links.toDF("node", "root")
+        root = root.unionByName(components(_large_regions(materialize(members.join(large, "region"), "large-members"), regions)))
     classes = materialize(sketch.select("node", "doc_id", "n_shingles").join(root, "node", "left").withColumn("class", F.coalesce("root", "node")), "classes")
     lowest = classes.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     joined = lookup(classes, lowest, "class", "doc_id", how="left")
