@@ -16,7 +16,7 @@ from strandlake.sources.store import materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior probability of good quality is at least a half."""
+    """Documents whose posterior probability of good quality is at least 0.3."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, labels).filter("keep").select(docs.columns)
 

@@ -7,6 +7,7 @@ only the last one is padded.
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -21,6 +22,10 @@ from strandlake.operators.lookup import lookup
 from strandlake.sources.store import materialize
 
 
+STOPS = r"(\pL)([.,;:!?]+)([\x20\x09-\x0D]|$)"  # at the end of a word
+_ENCODERS: dict["Packing", "Encoder"] = {}  # of this worker, which runs one task after the other
+
+
 @dataclass(frozen=True)
 class Packing:
     """Parameters of the order and of the sequences."""
@@ -90,42 +95,63 @@ def _keys(packing: Packing):
 
 
 class Encoder:
-    """Token ids of many texts; words that return within a batch are encoded once.
+    """Token ids of many texts; a word that returns is encoded once.
 
-    The tokenizer splits at white space before anything else, so the ids of a text are those of its words in a row.
+    The tokenizer splits at white space before anything else, and parts stops from the letter before them, so the ids of a text
+    are those of its words and stops in a row. What is known is forgotten when there is too much, so memory is bounded.
     """
+    MOST_WORDS, MOST_IDS, AT_ONCE = 500_000, 4_000_000, 5_000
 
     def __init__(self, packing: Packing):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(packing.path())
         self.tokenizer.encode_special_tokens = True
         self.end = packing.end_id
+        self.forget()
+
+    def forget(self) -> None:
+        """Know the end id alone, as word 0."""
+        self.known: dict[str, int] = {}
+        self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end], np.uint32)
+
+    def learn(self, vocabulary: list[str]) -> np.ndarray:
+        """Numbers of the words, of which new ones are encoded."""
+        if len(self.known) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+            self.forget()
+        new = [w for w in dict.fromkeys(vocabulary) if w not in self.known]
+        sizes, flat = [self.sizes], [self.flat]
+        for at in range(0, len(new), self.AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at:at + self.AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        return np.fromiter(map(self.known.__getitem__, vocabulary), np.int64, len(vocabulary))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and where each text's begin. ``texts``: from ``pieces``."""
-        lists = pc.ascii_split_whitespace(texts)
-        lists = lists.cast(pa.large_list(pa.large_string())) if not pa.types.is_large_list(lists.type) else lists
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"))
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(lists.flatten())
-        vocabulary = coded.dictionary.to_pylist()
-        ids = [e.ids for e in self.tokenizer.encode_batch(vocabulary, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids] + [1], np.int64)  # the end id as one more word
-        flat = np.array([i for x in ids for i in x] + [self.end], np.uint32)
-        begin = np.cumsum(sizes) - sizes
+        numbers = self.learn(pc.ascii_lower(coded.dictionary).to_pylist())  # as the tokenizer does
         first = np.concatenate([[0], np.cumsum(n_words + 1)])
-        order = np.full(first[-1], len(ids), np.int64)
-        at = np.arange(first[-1])
-        order[np.delete(at, first[1:] - 1)] = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[order]
+        order = np.zeros(first[-1], np.int64)
+        inside = np.ones(first[-1], bool)
+        inside[first[1:] - 1] = False
+        order[inside] = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        n, begin = self.sizes[order], np.cumsum(self.sizes) - self.sizes
         ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[order] - ends[:-1], n) + np.arange(ends[-1])]
+        out = self.flat[np.repeat(begin[order] - ends[:-1], n) + np.arange(ends[-1])]
         return out, ends[first]
 
 
 def _encode(packing: Packing):
     """Task over rows in curve order: ``(doc_id, text, part, …)`` to ``(doc_id, part, place, ids)``; ``place`` counts a part's ids before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = Encoder(packing), None, 0
+        if packing not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[packing] = Encoder(packing)
+        encoder, part, place = _ENCODERS[packing], None, 0
         for batch in batches:
             for at, piece in pieces(batch.column("text")):
                 ids, first = encoder.encode(piece)

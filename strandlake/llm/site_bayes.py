@@ -26,7 +26,7 @@ class Bayes:
     train_rows: int = 20_000  # labelled documents that the classifier is fitted on, those with the smallest hashes of their ids
     trees: int = 30
     depth: int = 6
-    least: float = 0.5  # posterior probability of good quality from which a document is kept
+    least: float = 0.3  # posterior probability of good quality from which a document is kept; a wrong rejection loses a clean document
     clip: float = 6.0  # most log odds that a classifier may give
 
 

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        n = max(n, PIECE + (PIECE >> 1))
+        n = max(n, PIECE + (1 << 16))
         for name, base in (("up", _P), ("down", _P_INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1

@@ -21,7 +21,7 @@ def test_hilbert_neighbours_are_neighbours():
 def documents(words):
     rng = random.Random(2)
     texts = [" ".join(words(rng.choice([0, 1, 30, 400, 3000]))) for _ in range(60)]
-    odd = ["", None, " \n ", "Ünïcode’s  «Words» x y<|endoftext|> <|startoftext|>1234 don't", "\x1cA\x85B́", "𝔘 ﻿ ΣΑΣ İ"]
+    odd = ["", None, " \n ", "Ünïcode’s  «Words» x y<|endoftext|> <|startoftext|>1234 don't", "\x1cA\x85B́", "word. Word, WORD?! x1. it's. (a). é́. <|endoftext|>. a<|endoftext|>, ...", "don't. word. word", "𝔘 ﻿ ΣΑΣ İ"]
     return list(enumerate(texts + odd + texts[:5])) + [(None, "null id"), (3, "same id")]
 
 

@@ -1,0 +1,70 @@
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from strandlake.llm.preference_pairs import completion, echo_pairs, format_pairs, mask, token_ids
+
+SCHEMA = "pair_id long, side string, turn int, role string, text string, prompt string"
+
+
+def render(turns):
+    return "".join(f"<|{r or ''}|>\n{t or ''}<|end|>\n" for r, t in turns)
+
+
+def marks(turns):
+    return "".join("0" * len(f"<|{r or ''}|>\n") + ("1" if r == "assistant" else "0") * len(f"{t or ''}<|end|>\n") for r, t in turns)
+
+
+PAIRS = {
+    1: ([("system", "s"), ("user", "hi"), ("assistant", "good")], [("system", "s"), ("user", "hi"), ("assistant", "bad"), ("user", "why"), ("assistant", "so")]),
+    2: ([("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "b")]),
+    3: ([("user", "a")], [("user", "a"), ("assistant", "more")]),
+    4: ([("user", "a"), ("assistant", "x")], []),
+    5: ([], [("assistant", "x")]),
+    6: ([("user", None), (None, "t"), ("assistant", "")], [("user", None), (None, "t"), ("assistant", "ü" * 50_000)]),
+    7: ([("user", "")], [("user", None)]),
+    8: ([("user", "q"), ("user", "q"), ("assistant", "r")], [("user", "q"), ("user", "q"), ("user", "r")]),
+}
+
+
+def frame(spark):
+    rows = [(k, side, n, r, t, "clash") for k, both in PAIRS.items() for side, turns in zip(("chosen", "rejected"), both) for n, (r, t) in enumerate(turns)]
+    return spark.createDataFrame(rows + [(1, "other", 0, "user", "x", ""), (None, "chosen", 0, "assistant", "n", "")], SCHEMA)
+
+
+def test_longest_common_prefix(spark):
+    pairs = format_pairs(frame(spark))
+    got = {r["pair_id"]: r for r in pairs.select("*", *[f(s).alias(f"{s}_{n}") for s in ("chosen", "rejected") for n, f in (("text", completion), ("mask", mask))]).collect()}
+    assert set(got) == {None, *PAIRS}
+    for k, (chosen, rejected) in PAIRS.items():
+        n = 0
+        while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+            n += 1
+        r = got[k]
+        assert (r["prompt_turns"], r["prompt"]) == (n, render(chosen[:n])), k
+        assert (r["chosen_text"], r["rejected_text"]) == (render(chosen[n:]), render(rejected[n:])), k
+        assert (r["chosen_mask"], r["rejected_mask"]) == (marks(chosen[n:]), marks(rejected[n:])), k
+    assert format_pairs(frame(spark).limit(0)).collect() == []
+
+
+def test_token_ids_and_labels(spark):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    got = {r["pair_id"]: r for r in token_ids(format_pairs(frame(spark)), path).collect()}
+    for k, (chosen, _) in PAIRS.items():
+        ids, labels = got[k]["chosen_ids"], got[k]["chosen_labels"]
+        assert tokenizer.decode(ids) == render(chosen) and len(ids) == len(labels)
+        assert all(x in (i, -100) for i, x in zip(ids, labels))
+    trained = tokenizer.decode([x for x in got[1]["chosen_labels"] if x >= 0])
+    assert trained == "good<|end|>\n"
+
+
+def test_echo_pairs(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "later"), (2, 0, "user", "only"), (3, 0, "assistant", "first"), (4, 0, "user", None), (4, 1, "assistant", "a")]
+    got = {}
+    for r in echo_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect():
+        got.setdefault((r["pair_id"], r["side"]), []).append((r["turn"], r["role"], r["text"]))
+    got = {k: sorted(v) for k, v in got.items()}
+    assert got[1, "chosen"] == [(0, "user", "q"), (1, "assistant", "a")] and got[1, "rejected"] == [(0, "user", "q"), (1, "assistant", "q")]
+    assert got[2, "chosen"] == got[2, "rejected"] == [(0, "user", "only")]
+    assert got[3, "rejected"] == [(0, "assistant", "")] and got[4, "rejected"] == [(0, "user", None), (1, "assistant", "")]
