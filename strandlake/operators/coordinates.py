@@ -69,12 +69,19 @@ def sort_by_reference_position(alignments: DataFrame, seq_dict: DataFrame) -> Da
 
 
 def attach_reference(rows: DataFrame, ref_tiles: DataFrame, salt_on, pos: str = "pos", length: Column | int = 1,
-                     name: str = "ref_base", tile: int = TILE, upper: bool = True) -> DataFrame:
-    """Reference bases ``[pos, pos + length)`` of each row by an equi join on the tile; ``length`` is at most OVERLAP."""
+                     name: str = "ref_base", tile: int = TILE, upper: bool = True, overlap: int = OVERLAP) -> DataFrame:
+    """Reference bases ``[pos, pos + length)`` of each row by an equi join on the tile.
+
+    A stretch that runs out of its tile and the overlap, but not out of the contig, is an error: a cut window would pass for
+    the whole one. Tiles are as long as ``tile`` and the overlap unless their contig ends in them.
+    """
     tiles = ref_tiles.select("contig", F.col("tile").alias("_tile"), F.col("start").alias("_tile_start"), F.col("bases").alias("_tile_bases"))
     joined = lookup(rows.withColumn("_tile", F.floor((F.col(pos) - 1) / tile)), tiles, ["contig", "_tile"], salt_on, "left")
     size = length if isinstance(length, Column) else F.lit(length)
-    bases = F.substring("_tile_bases", offset_in_tile(F.col(pos), F.col("_tile_start"), tile), size.cast("int"))
+    at, held = offset_in_tile(F.col(pos), F.col("_tile_start"), tile), F.length("_tile_bases")
+    cut = (at + size - 1 > held) & (held >= tile + overlap)
+    bases = F.when(cut, F.raise_error(F.lit(f"a stretch of reference runs out of its tile of {tile} and {overlap} bases"))).otherwise(
+        F.substring("_tile_bases", at, size.cast("int")))
     return joined.withColumn(name, F.upper(bases) if upper else bases).drop("_tile", "_tile_start", "_tile_bases")
 
 

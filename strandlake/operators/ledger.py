@@ -26,13 +26,17 @@ def latest_runs(ledger: DataFrame) -> DataFrame:
 def collect_run(submissions: DataFrame, task_runs: DataFrame, connections: DataFrame) -> DataFrame:
     """Ledger rows: duration and state by (task, dag, date), host by connection id.
 
-    ``submissions (task_id, dag_id, execution_date, conn_id, …configuration)``; failed runs are collected as well.
+    ``submissions (task_id, dag_id, execution_date, conn_id, …configuration)``; failed runs are collected as well. A run
+    without a task row or with an unknown connection is an error, not a run less.
     """
     default = F.create_map(*[F.lit(x) for pair in DEFAULT_CONNECTION.items() for x in pair])
     named = submissions.withColumn("conn_id", F.coalesce(F.try_element_at(default, F.col("conn_id")), F.col("conn_id")))
-    timed = named.join(task_runs.select(*KEY, "duration", "state"), KEY)
-    hosts = connections.select("conn_id", "host")
-    return lookup(timed, hosts, "conn_id", salt_on=KEY, measure=True).drop("conn_id")
+    timed = named.join(task_runs.select(*KEY, "duration", "state", F.lit(True).alias("_ran")), KEY, "left")
+    hosts = connections.select("conn_id", F.struct("host").alias("_host"))
+    found = lookup(timed, hosts, "conn_id", salt_on=KEY, how="left", measure=True)
+    missing = lambda what: F.raise_error(F.concat_ws(" ", F.lit(f"no {what} for run"), *[F.col(k).cast("string") for k in KEY]))
+    host = F.when(F.col("_ran").isNull(), missing("task row")).when(F.col("_host").isNull(), missing("connection")).otherwise(F.col("_host.host"))
+    return found.select(*[c for c in timed.columns if c not in ("_ran", "conn_id")], host.alias("host"))
 
 
 def run_stats(ledger: DataFrame, by=("task_id", *CONFIGURATION, "state")) -> DataFrame:

@@ -102,7 +102,7 @@ def vcf_line(samples: list[str]) -> Column:
     """One site as VCF text with genotype columns in the order of ``samples``."""
     joined = lambda c, sep: F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, ".").otherwise(F.array_join(c, sep))
     fixed = [F.col("contig"), F.col("pos").cast("string"), joined("ids", ";"), F.col("ref"), joined("alts", ","),
-             F.when(F.col("qual").isNull(), ".").otherwise(F.format_string("%.2f", F.col("qual"))), joined("filters", ";"),
+             F.when(F.col("qual").isNull(), ".").otherwise(F.when(F.round("qual", 2) == F.col("qual"), F.format_string("%.2f", F.col("qual"))).otherwise(F.col("qual").cast("string"))), joined("filters", ";"),
              format_info(F.col("info"))]
     if not samples:
         return F.concat_ws("\t", *fixed)

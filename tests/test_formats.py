@@ -53,6 +53,20 @@ def test_mate_files(spark, tmp_path):
     assert found == {("p", "paired", 2), ("q", "single", 1)}
 
 
+def test_parts_of_an_output_are_one_file(spark, tmp_path):
+    reads = spark.createDataFrame([(f"r{i:03d}", 0, "ACGT"[i % 4] * 5, "I" * 5) for i in range(50)], "frag string, mate int, bases string, quals string")
+    fastq.write_fastq(reads.orderBy("frag").repartitionByRange(4, "frag").sortWithinPartitions("frag"), str(tmp_path / "out"))
+    found = fastq.read_fastq(spark, str(tmp_path / "out"), "s").orderBy("ord").collect()
+    assert [(r["ord"], r["frag"]) for r in found] == [(i, f"r{i:03d}") for i in range(50)]
+
+
+def test_supplementary_records_are_not_reads(spark, tmp_path):
+    line = lambda flag, bases: "\t".join(["x", str(flag), "one", "5", "60", f"{len(bases)}M", "*", "0", "0", bases, "I" * len(bases)])
+    (tmp_path / "a.sam").write_text("\n".join(["@SQ\tSN:one\tLN:100", line(65, "ACGTA"), line(129, "CCGTA"), line(65 + 2048, "ACG"), line(129 + 256, "CCG")]) + "\n")
+    row = fastq.load_fragments(spark, str(tmp_path / "a.sam"), "s").collect()
+    assert len(row) == 1 and [r["bases"] for r in row[0]["reads"]] == ["ACGTA", "CCGTA"]
+
+
 def test_fasta_over_many_splits(spark, tmp_path, small_splits, genome):
     text = "".join(f">{name}|x:1-2\tmore text\n" + "".join(seq[i:i + 60] + "\n" for i in range(0, len(seq), 60)) for name, seq in genome.items())
     (tmp_path / "g.fa").write_text(text + ">empty text\n>last\nACGT")

@@ -51,7 +51,7 @@ def write_fasta(spark, sf, path):
     head = chunks.select("contig").distinct().select(
         "contig", F.lit(-1).cast("long").alias("chunk"), F.concat(F.lit(">"), "contig", F.lit("\tderived")).alias("value"))
     lines = chunks.select("contig", "chunk", F.col("bases").alias("value")).unionByName(head)
-    lines.orderBy("contig", "chunk").select("value").coalesce(1).write.mode("overwrite").text(path)
+    lines.orderBy("contig", "chunk").select("value").write.mode("overwrite").text(path)
 
 
 @query("fasta_tiles", t.duck("""select contig, cast(floor((chunk * 32) / 4096) as bigint) as tile,

@@ -329,7 +329,7 @@ def paired_run(spark, sf):
     pairs = _sampled(spark, sf).filter("mate > 0").orderBy("frag")
     paths = [store.scratch_path(spark, f"pair_{m}") for m in (1, 2)]
     for mate, path in zip((1, 2), paths):
-        fastq.write_fastq(pairs.filter(F.col("mate") == mate).coalesce(1), path)
+        fastq.write_fastq(pairs.filter(F.col("mate") == mate), path)
     rows = fragments.interleave(*[fastq.read_fastq(spark, p, "S") for p in paths])
     return plans.align_and_finish(rows, t.ref_tiles(spark, sf), t.snps(spark, sf)).select(*FINISHED_COLUMNS)
 

