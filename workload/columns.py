@@ -201,16 +201,18 @@ query("qc_gc_distribution", t.duck("""select cast(floor(100 * length(translate(b
 query("qc_n_content", t.duck(f"""select cast(cycle as int) as cycle, round(100.0 * count(*) filter (where base = 'N') / count(*), 6) as n_percent
   from ({CELLS}) group by cycle"""))(lambda spark, sf: qc.qc_n_content(t.reads(spark, sf)))
 
-query("qc_length_distribution", t.duck("select cast(length(name) as int) as length, count(*) as reads from (select frag as name from reads) group by 1"))(
-    lambda spark, sf: qc.qc_length_distribution(t.reads(spark, sf).select(F.col("frag").alias("bases"))))
+# Reads of several lengths: cut before the first base that wasn't called.
+CALLED = "case when instr(bases, 'N') > 0 then left(bases, instr(bases, 'N') - 1) else bases end"
+query("qc_length_distribution", t.duck(f"select cast(length({CALLED}) as int) as length, count(*) as reads from reads group by 1"))(
+    lambda spark, sf: qc.qc_length_distribution(t.reads(spark, sf).select(F.expr(CALLED).alias("bases"))))
 
 LEVEL = "case when c > 10000 then '>10k' when c > 5000 then '>5k' when c > 1000 then '>1k' when c > 500 then '>500' when c > 100 then '>100' when c > 50 then '>50' when c > 9 then '>10' else cast(c as varchar) end"
 query("qc_duplication_levels", t.duck(f"""select {LEVEL} as level, count(*) as sequences, cast(sum(c) as bigint) as reads
   from (select bases, count(*) as c from reads group by 1) group by 1"""))(lambda spark, sf: qc.qc_duplication_levels(t.reads(spark, sf)))
 
 query("qc_overrepresented", t.duck("""select bases, copies, round(copies / (select count(*) from reads), 8) as share from (
-  select left(bases, 6) as bases, count(*) as copies from reads group by 1) where copies >= (select count(*) from reads) * 0.0001 order by copies desc, bases limit 20"""))(
-    lambda spark, sf: qc.qc_overrepresented(t.reads(spark, sf).select(F.left("bases", F.lit(6)).alias("bases")), 20, 0.0001))
+  select bases, count(*) as copies from reads group by 1) where copies >= (select count(*) from reads) * 0.00001 order by copies desc, bases limit 20"""))(
+    lambda spark, sf: qc.qc_overrepresented(t.reads(spark, sf), 20, 0.00001))
 
 ADAPTERS = {"first": "ACGTA", "second": "GGGTC", "never": "NNNNNN"}
 query("qc_adapter_content", t.duck("select adapter, cast(cycle as int) as cycle, round(100.0 * sum(n) over (partition by adapter order by cycle) / total, 6) as percent from ("

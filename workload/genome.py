@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import (alignment, annotation, calling, coordinates, duplicates, filters, fragments, ledger, pileup, pipe,
                                   recalibration)
 from strandlake.plans import germline as plans
-from strandlake.sources import fastq, store
+from strandlake.sources import fastq, store, vcf
 from workload import sql as s
 from workload import tables as t
 from workload.formats import DATED, LEDGER, write_fasta
@@ -160,6 +160,30 @@ def nonvariant_blocks(spark, sf):
     return calling.gvcf_blocks(pileup.pileup(t.alignments(spark, sf)), t.ref_tiles(spark, sf), block_tile=512)
 
 
+@query("calls_written", t.duck("select sample, contig, pos, ref, alt, gt, dp, qual from (select *, max(qual) over (partition by contig, pos, ref, alt) as top from calls)"
+                               .replace("dp, qual from", "dp, top as qual from"), more=PILED + "," + s.calls()))
+def calls_written(spark, sf):
+    """Calls written as VCF and read back, a row per genotype."""
+    path, tiles = store.scratch_path(spark, "calls"), t.ref_tiles(spark, sf)
+    calls = store.materialize(calling.call_variants(pileup.pileup(t.alignments(spark, sf)), tiles), "calls")
+    vcf.write_vcf(calling.calls_to_variants(calls), calling.call_header(coordinates.sequence_dictionary(tiles, digest=False)), path)
+    rows = vcf.read_vcf(spark, path)[0].select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), "qual", F.explode("genotypes").alias("g"))
+    return rows.filter(F.col("g.fields")["GT"] != ".").select(F.col("g.sample").alias("sample"), "contig", "pos", "ref", "alt", F.col("g.fields")["GT"].alias("gt"),
+                                                             F.col("g.fields")["DP"].cast("bigint").alias("dp"), "qual")
+
+
+@query("blocks_written", t.duck("""select sample, contig, min(pos) as start, max(pos) as "end", min(dp) as min_dp, cast(min(gq) as int) as min_gq
+  from numbered group by sample, contig, run""", more=PILED + "," + s.sites() + BLOCKS))
+def blocks_written(spark, sf):
+    """Reference blocks written as VCF with END and MIN_DP, and read back."""
+    path, tiles = store.scratch_path(spark, "blocks"), t.ref_tiles(spark, sf)
+    blocks = store.materialize(calling.gvcf_blocks(pileup.pileup(t.alignments(spark, sf)), tiles, block_tile=512), "blocks")
+    vcf.write_vcf(calling.blocks_to_variants(blocks, tiles), calling.call_header(coordinates.sequence_dictionary(tiles, digest=False)), path)
+    rows = vcf.read_vcf(spark, path)[0].select("contig", F.col("pos").alias("start"), "end", F.explode("genotypes").alias("g"))
+    cell = lambda k: F.try_element_at(F.col("g.fields"), F.lit(k))
+    return rows.filter(cell("GT") == "0/0").select(F.col("g.sample").alias("sample"), "contig", "start", "end", cell("MIN_DP").cast("bigint").alias("min_dp"), cell("GQ").cast("int").alias("min_gq"))
+
+
 # --- annotation ------------------------------------------------------------------------------------------------------
 
 CSQ_COLUMNS = "contig, pos, ref, alt, allele, consequence, impact, symbol, gene, feature_type, feature, biotype, distance, strand"
