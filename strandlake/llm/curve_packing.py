@@ -5,7 +5,9 @@ Hilbert curve is a sort key under which similar documents stand near each other.
 tokenized where they stand, and cut at every multiple of the sequence length along the curve: sequences hold neighbours, and
 only the last one is padded.
 """
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 from zlib import crc32
@@ -14,15 +16,17 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.words import mix, pieces, word_hashes
+from strandlake.llm.words import mix, pieces, word_hashes, word_spans
 from strandlake.operators.lookup import lookup
 from strandlake.sources.store import materialize
 
 
 STOPS = r"(\pL)([.,;:!?]+)([\x20\x09-\x0D]|$)"  # at the end of a word
+ENCODED = 1 << 20  # bytes of text that are encoded at once
+BATCH_ROWS = "1000"  # documents to an Arrow batch, which holds whole texts or their ids
 _ENCODERS: dict["Packing", "Encoder"] = {}  # of this worker, which runs one task after the other
 
 
@@ -83,26 +87,25 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _keys(packing: Packing):
-    """Pandas-free task: Arrow array of texts to Hilbert keys."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            keys = [hilbert_key(project(*word_hashes(piece), packing), packing.bits) for _, piece in pieces(texts)]
-            keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "curve"])
-    return run
+def _curve(packing: Packing):
+    """Arrow function of texts: their Hilbert keys."""
+    def curve(texts: pa.Array) -> pa.Array:
+        keys = [hilbert_key(project(*word_hashes(piece), packing), packing.bits) for _, piece in pieces(texts)]
+        return pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
+    return F.arrow_udf(curve, "long")
 
 
 class Encoder:
     """Token ids of many texts; a word that returns is encoded once.
 
     The tokenizer splits at white space before anything else, and parts stops from the letter before them, so the ids of a text
-    are those of its words and stops in a row. What is known is forgotten when there is too much, so memory is bounded.
+    are those of its words and stops in a row. Words are told apart by 64 bits of hash, with A-Z as a-z, as the tokenizer takes
+    them. All is forgotten when too much is known, so memory is bounded.
     """
-    MOST_WORDS, MOST_IDS, AT_ONCE = 500_000, 4_000_000, 5_000
+    MOST_WORDS, MOST_IDS, AT_ONCE = 1_000_000, 6_000_000, 2_000
 
     def __init__(self, packing: Packing):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(packing.path())
         self.tokenizer.encode_special_tokens = True
@@ -111,38 +114,45 @@ class Encoder:
 
     def forget(self) -> None:
         """Know the end id alone, as word 0."""
-        self.known: dict[str, int] = {}
-        self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end], np.uint32)
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)  # known words, by ascending hash
+        self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end], np.uint32)  # by number
 
-    def learn(self, vocabulary: list[str]) -> np.ndarray:
-        """Numbers of the words, of which new ones are encoded."""
-        if len(self.known) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+    def learn(self, hashes: np.ndarray, word) -> np.ndarray:
+        """Numbers of words with these distinct, ascending hashes; ``word(k)`` is the text of the k-th, for those that are new."""
+        if len(self.hashes) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
             self.forget()
-        new = [w for w in dict.fromkeys(vocabulary) if w not in self.known]
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        new = np.flatnonzero(~known)
         sizes, flat = [self.sizes], [self.flat]
-        for at in range(0, len(new), self.AT_ONCE):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at:at + self.AT_ONCE], add_special_tokens=False)]
+        for k in range(0, len(new), self.AT_ONCE):
+            some = [word(i) for i in new[k:k + self.AT_ONCE].tolist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        fresh = np.arange(len(self.sizes), len(self.sizes) + len(new))
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        return np.fromiter(map(self.known.__getitem__, vocabulary), np.int64, len(vocabulary))
+        out = np.empty(len(hashes), np.int64)
+        out[known], out[new] = self.numbers[at[known]], fresh
+        self.numbers = np.insert(self.numbers, at[new], fresh)
+        self.hashes = np.insert(self.hashes, at[new], hashes[new])
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and where each text's begin. ``texts``: from ``pieces``."""
-        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"))
-        n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pc.dictionary_encode(lists.flatten())
-        numbers = self.learn(pc.ascii_lower(coded.dictionary).to_pylist())  # as the tokenizer does
-        first = np.concatenate([[0], np.cumsum(n_words + 1)])
+        hashes, first, data, starts, ends = word_spans(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"))
+        distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        numbers = self.learn(distinct, lambda k: data[starts[at[k]]:ends[at[k]]].tobytes().decode())
+        first = first + np.arange(len(first))  # an end after each text
         order = np.zeros(first[-1], np.int64)
         inside = np.ones(first[-1], bool)
         inside[first[1:] - 1] = False
-        order[inside] = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        order[inside] = numbers[place]
         n, begin = self.sizes[order], np.cumsum(self.sizes) - self.sizes
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = self.flat[np.repeat(begin[order] - ends[:-1], n) + np.arange(ends[-1])]
-        return out, ends[first]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        out = self.flat[np.repeat(begin[order] - stops[:-1], n) + np.arange(stops[-1])]
+        return out, stops[first]
 
 
 def _encode(packing: Packing):
@@ -153,7 +163,7 @@ def _encode(packing: Packing):
             _ENCODERS[packing] = Encoder(packing)
         encoder, part, place = _ENCODERS[packing], None, 0
         for batch in batches:
-            for at, piece in pieces(batch.column("text")):
+            for at, piece in pieces(batch.column("text"), ENCODED):
                 ids, first = encoder.encode(piece)
                 parts = batch.column("part").slice(at, len(piece)).to_pylist()
                 places = []
@@ -169,15 +179,28 @@ def _encode(packing: Packing):
     return run
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: str):
+    """Other sizes of Arrow batches, for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tokens_on_curve(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     """A stored table of all documents in curve order: ``doc_id, place`` (ids before it on the whole curve) and ``ids`` (binary, 4 bytes each)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     parts = max(1, min(size["n"], -(-(size["bytes"] or 0) // packing.bytes_per_part)))
-    keyed = texts.mapInArrow(_keys(packing), "doc_id long, text string, curve long")
+    keyed = texts.withColumn("curve", _curve(packing)("text"))
     # equal keys (copies) are told apart by a hash, so that a large group of copies is spread over ranges
     ranged = keyed.withColumn("spread", F.xxhash64("doc_id")).repartitionByRange(parts, "curve", "spread", "doc_id").sortWithinPartitions("curve", "spread", "doc_id", "text")
-    stored = materialize(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(packing), "doc_id long, part int, place long, ids binary"), "curve")
+    with _batches(docs.sparkSession, BATCH_ROWS):
+        stored = materialize(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(packing), "doc_id long, part int, place long, ids binary"), "curve")
     totals = stored.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("part", before.alias("before"))  # one row for each range of the sort

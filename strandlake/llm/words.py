@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21  # bytes of text that are worked on at once
+PIECE = 1 << 20  # bytes of text that are worked on at once
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -50,12 +50,18 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, pa.Array]]
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's words begin (one number more than texts). ``texts``: from ``pieces``."""
+    return word_spans(texts)[:2]
+
+
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``word_hashes`` gives, and the bytes of the texts with the places where each word begins and ends."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), data, none, none
     space = _SPACE[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[0], before[1:], after[-1], after[:-1] = True, space[:-1], True, space[1:]
@@ -72,7 +78,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((_LOWER[data[base:top]].astype(np.uint64) + np.uint64(1)) * up[:top - base], out=sums[1:])
         out[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base]
         at = to
-    return mix(out), np.searchsorted(starts, offsets).astype(np.int64)
+    return mix(out), np.searchsorted(starts, offsets).astype(np.int64), data, starts, ends
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
