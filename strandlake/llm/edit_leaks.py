@@ -124,9 +124,8 @@ def best_window(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     """
     n, m = len(item), len(text)
     places = np.arange(m + 1)
-    cost = np.zeros(m + 1, np.int64)  # distance * (m + 2) + words before the start, as one number, so that starts come along
     scale = m + 2
-    cost = (m - places).astype(np.int64)
+    cost = m - places  # distance * scale + (m - first word), as one number, so that starts come along
     for i in range(n):
         step = np.minimum(cost[:-1] + np.where(text == item[i], 0, scale), cost[1:] + scale)
         row = np.concatenate([[cost[0] + scale], step]) - places * scale
