@@ -25,7 +25,7 @@ from strandlake.sources.store import materialize
 
 
 STOPS = r"(\pL)([.,;:!?]+)([\x20\x09-\x0D]|$)"  # at the end of a word
-ENCODED = 1 << 20  # bytes of text that are encoded at once
+ENCODED = 1 << 19  # bytes of text that are encoded at once
 BATCH_ROWS = "1000"  # documents to an Arrow batch, which holds whole texts or their ids
 _ENCODERS: dict["Packing", "Encoder"] = {}  # of this worker, which runs one task after the other
 
@@ -102,7 +102,7 @@ class Encoder:
     are those of its words and stops in a row. Words are told apart by 64 bits of hash, with A-Z as a-z, as the tokenizer takes
     them. All is forgotten when too much is known, so memory is bounded.
     """
-    MOST_WORDS, MOST_IDS, AT_ONCE = 1_000_000, 6_000_000, 2_000
+    MOST_WORDS, MOST_IDS, AT_ONCE = 300_000, 2_000_000, 2_000
 
     def __init__(self, packing: Packing):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
