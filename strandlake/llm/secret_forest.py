@@ -74,10 +74,24 @@ def with_features(findings: DataFrame) -> DataFrame:
 
 
 def label_by_form(findings: DataFrame) -> DataFrame:
-    """Labels for findings where no people have given any: issued forms, and hex beside the name of a secret, count as secrets."""
-    issued = F.col("value").rlike("^(" + "|".join(ISSUED) + ")$")
-    named = F.concat_ws(" ", "before", "around").rlike("(?i)(" + "|".join(KEY_WORDS) + r")\W*$|(?i)(" + "|".join(KEY_WORDS) + r")\W+\s")
-    return findings.withColumn("label", (issued | (named & F.col("value").rlike("^[0-9a-f]{16,}$") & F.col("value").rlike("[0-9]"))).cast("double"))
+    """Labels for findings where no people have given any: issued forms, and hex of either case beside the name of a secret,
+    count as secrets.
+
+    A finding is no secret where no name stands before it or in its word (but for one that another value follows), or where a
+    common word of three letters or more is a part of it. A named value of any other form (base64, a password) may be a secret
+    or not: its label is null.
+    """
+    v, beside = F.col("value"), F.concat_ws(" ", "before", "around")
+    keys = "(?i)(" + "|".join(KEY_WORDS) + ")"
+    issued = v.rlike("^(" + "|".join(ISSUED) + ")$")
+    named = beside.rlike(keys + r"\W*$|" + keys + r"\W+\s")
+    hexed = v.rlike("^[0-9A-Fa-f]{16,}$") & v.rlike("[0-9]")
+    parts = F.split(v, r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", -1)
+    known = sorted({x for words in COMMON_WORDS.values() for x in words if len(x) > 2 and x.isascii()} | set(KEY_WORDS))
+    own = F.concat_ws(" ", F.regexp_replace("before", keys + r"\W+" + RUN, " "), "around")
+    worded = F.exists(parts, lambda x: F.lower(x).isin(known))
+    label = F.when(issued | (named & hexed), 1.0).when(worded | ~own.rlike(keys), 0.0)
+    return findings.withColumn("label", label)
 
 
 def train(labelled: DataFrame, forest: Forest = Forest()) -> RandomForestClassificationModel | None:

@@ -102,3 +102,17 @@ def test_secrets_are_found_from_half_the_labels(spark, words):
     assert scan(docs.limit(0)).collect() == []
     one_kind = scan(docs.filter("doc_id = 902")).collect()
     assert [(r["is_secret"], r["score"]) for r in one_kind] == [(True, None)]
+
+
+def test_named_values_of_other_forms_are_not_trained_as_negatives(spark, words):
+    upper, mixed = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "x7Qm2VtLr9ZbKw4HsN8dYc1uPf6E"
+    texts = [f'TOKEN = "{upper}"', f"api_key = {mixed}", f"see {mixed} there", "password: take-the-token-from-header", f"commit {upper.lower()} done"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang")
+    assert [r["label"] for r in label_by_form(candidates(docs)).orderBy("doc_id").collect()] == [1.0, None, 0.0, 0.0, 0.0]
+    rows, rng, want = secrets(words)[0], random.Random(3), set()
+    for k in range(1, 300, 6):
+        value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789+/") for _ in range(32))
+        rows[k] = (k, rows[k][1] + rng.choice([" password={}", ' token = "{}"', " secret: {}"]).format(value), *rows[k][2:])
+        want.add((k, value))
+    found = {(r["doc_id"], r["value"]) for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect() if r["is_secret"]}
+    assert len(want & found) >= 0.95 * len(want)
