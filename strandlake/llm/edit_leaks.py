@@ -28,6 +28,7 @@ class Leaks:
     similarity: float = 0.8  # 1 - edit distance / words of the item, at least
     steps: tuple[int, ...] = (7, 7, 9, 9, 11, 11, 14, 14)  # of each table's walk
     samples: int = 4  # steps that a table samples
+    short_words: int = 15  # items of fewer words are found by exact parts, which miss nothing
     block_items: int = 20_000  # items that are held against the corpus in one pass
     block_chars: int = 20_000_000
 
@@ -73,23 +74,29 @@ class Items:
         texts = pa.array([t for _, t in rows], pa.large_string())
         parts = [word_hashes(piece) for _, piece in pieces(texts)]
         self.words = [w[a:b] for w, f in parts for a, b in zip(f[:-1], f[1:])]
-        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # items too short for a walk: by length, their keys and numbers
+        parts_: dict[int, list] = {}  # of short items: by words of a part, its key, item and place
         walked: list[list] = [[] for _ in leaks.steps]
         for n, words in enumerate(self.words):
             found = False
-            for table in range(len(leaks.steps)):
+            for table in range(len(leaks.steps) if len(words) >= leaks.short_words else 0):
                 keys, last, places = walk_keys(words, table, leaks)
                 inside = np.flatnonzero((last < len(words) - 1) & (places >= leaks.samples))  # a sample of fewer words says too little
                 walked[table] += [(k, n, a) for k, a in zip(keys[inside].tolist(), inside.tolist())]
                 found |= len(inside) > 0
-            if len(words) and not found:
-                self.whole.setdefault(len(words), []).append((_run_keys(words, len(words))[0], n))
+            if not found:
+                for part in np.array_split(np.arange(len(words)), leaks.edits(len(words)) + 1):  # edits leave one of them as it is
+                    if len(part):
+                        parts_.setdefault(len(part), []).append((int(_run_keys(words[part], len(part))[0]), n, int(part[0])))
         self.tables = []
         for rows_ in walked:
             rows_.sort()
             keys = np.array([k for k, _, _ in rows_], np.uint64)
             self.tables.append((keys, np.array([n for _, n, _ in rows_], np.int64), np.array([a for _, _, a in rows_], np.int64), _filter(keys)))
-        self.whole = {k: (np.array([x for x, _ in sorted(v)], np.uint64), np.array([n for _, n in sorted(v)], np.int64)) for k, v in self.whole.items()}
+        self.parts = {}
+        for size, rows_ in parts_.items():
+            rows_.sort()
+            keys = np.array([k for k, _, _ in rows_], np.uint64)
+            self.parts[size] = (keys, np.array([n for _, n, _ in rows_], np.int64), np.array([a for _, _, a in rows_], np.int64), _filter(keys))
 
 
 def _run_keys(words: np.ndarray, n: int) -> np.ndarray:
@@ -134,6 +141,20 @@ def best_window(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end] // scale), m - int(cost[end] % scale), end
 
 
+def _near(words: np.ndarray, start: np.ndarray, owner: np.ndarray, items: Items) -> np.ndarray:
+    """Which candidates hold as many of the item's words, each within the edits of its place, as a match can't do without."""
+    near = np.zeros(len(start), bool)
+    for n in np.unique(owner).tolist():
+        item = items.words[n]
+        k, mine = items.leaks.edits(len(item)), np.flatnonzero(owner == n)
+        held = np.zeros(len(mine), np.int64)
+        for i, word in enumerate(item):
+            places = start[mine, None] + np.arange(i - k, i + k + 1)
+            held += ((words[np.clip(places, 0, len(words) - 1)] == word) & (places >= 0) & (places < len(words))).any(1)
+        near[mine] = held >= len(item) - k
+    return near
+
+
 def _search(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """Verified matches: number of the text, number of the item, first word, word after the last, distance."""
     leaks, found = items.leaks, []
@@ -141,9 +162,10 @@ def _search(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tupl
         if len(wanted) and len(words):
             at, to = _matches(walk_keys(words, table, leaks)[0], wanted, seen, shift)
             found.append((at, owner[to], at - anchor[to]))
-    for n, (wanted, owner) in items.whole.items():
-        at, to = _matches(_run_keys(words, n), wanted, *_filter(wanted))
-        found.append((at, owner[to], at))
+    for size, (wanted, owner, anchor, (seen, shift)) in items.parts.items():
+        at, to = _matches(_run_keys(words, size), wanted, seen, shift)
+        near = _near(words, at - anchor[to], owner[to], items)
+        found.append((at[near], owner[to[near]], (at - anchor[to])[near]))
     if not found:
         return
     at, owner, start = (np.concatenate(x) for x in zip(*found))
@@ -192,7 +214,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, leaks: Leaks = Leaks()) -> Dat
     One row per document, item and place: ``doc_id, item_id, start_word, end_word`` (exclusive), ``distance`` in words and
     ``item_words``. Items are the query set: the corpus is read once for each block of them, and never shuffled. Null and
     empty texts or items match nothing; a null doc_id or item_id stays null; repeated rows match each; other columns are
-    ignored. Items too short for a walk are looked up as a whole, without edits.
+    ignored. Items of fewer than ``short_words`` words are looked up by parts, of which the edits leave one as it is, so that
+    none of their places is missed.
     """
     spark, out = docs.sparkSession, None
     for block in _blocks(items, leaks):

@@ -87,6 +87,22 @@ def test_exact_items_are_always_found(words):
         assert any(x[1] == n and x[4] == 0 for x in _search(w, f, held)), text
 
 
+def test_edited_short_items_are_always_found(words):
+    from strandlake.llm.edit_leaks import Items, _search
+    rng, leaks = random.Random(12), Leaks()
+    texts = [words(n) for n in range(5, 15) for _ in range(12)]
+    held = Items([(k, " ".join(t)) for k, t in enumerate(texts)], leaks)
+    for n, text in enumerate(texts):
+        edited = list(text)
+        for _ in range(leaks.edits(len(text))):
+            p = rng.randrange(len(edited))
+            action = rng.random()
+            edited[p:p + 1] = ["other"] if action < 0.5 else [] if action < 0.75 else [edited[p], "other"]
+        for lead in (0, 9):
+            w, f = word_hashes(next(pieces(pa.array(["before it", " ".join(words(lead) + edited + words(lead))])))[1])
+            assert any(x[:2] == (1, n) for x in _search(w, f, held)), (text, edited)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, items).collect() == [] and drop_leaks(docs, items).collect() == []
