@@ -6,6 +6,7 @@ from strandlake.llm import oracles
 from strandlake.llm.curve_packing import pack_documents
 from strandlake.llm.divergence import judge
 from strandlake.llm.edit_leaks import find_leaks
+from strandlake.llm.filter_audit import audit
 from strandlake.llm.hash_tree import even_tree, grown, shard_documents
 from strandlake.llm.jaccard_regions import link_documents
 from strandlake.llm.line_spread import remove_spread_lines
@@ -98,3 +99,9 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with a shingle similarity of 0.8 or more."""
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.OP11)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of all 120 orders, by language."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
