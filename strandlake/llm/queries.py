@@ -13,6 +13,7 @@ from strandlake.llm.line_spread import remove_spread_lines
 from strandlake.llm.preference_pairs import completion, echo_pairs, format_pairs, mask
 from strandlake.llm.secret_forest import scan
 from strandlake.llm.site_bayes import score
+from strandlake.llm.tree_bpe import decode_ids, encode_texts
 from strandlake.llm.warc import page_records, page_rows, read_warc, write_warc
 from strandlake.sources.store import scratch_path
 
@@ -105,3 +106,11 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove at each step of all 120 orders, by language."""
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids of a byte-level BPE and back."""
+    ids = encode_texts(table(spark, sf_dir, "documents"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2(decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
