@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.words import mix, pieces, word_hashes, word_spans
+from strandlake.llm.words import LOWER, Spans, first_of_equals, mix, pieces, word_hashes, word_places
 from strandlake.operators.lookup import lookup
 from strandlake.sources.store import materialize
 
 
-STOPS = r"(\pL)([.,;:!?]+)([\x20\x09-\x0D]|$)"  # at the end of a word
+STOPS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)([\x20\x09-\x0D]|$)"  # at the end of a word, behind a letter that stays one letter in lower case
 ENCODED = 1 << 19  # bytes of text that are encoded at once
 BATCH_ROWS = "1000"  # documents to an Arrow batch, which holds whole texts or their ids
 _ENCODERS: dict["Packing", "Encoder"] = {}  # of this worker, which runs one task after the other
@@ -95,12 +95,25 @@ def _curve(packing: Packing):
     return F.arrow_udf(curve, "long")
 
 
+def lower_plain(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A-Z as a-z in words of ASCII letters alone, where the tokenizer does the same; not in others (composition comes first there)
+    nor in those with ``|``, which may hold a special token."""
+    low = LOWER[data]
+    changed = np.flatnonzero(low != data)
+    word_at = lambda places: np.searchsorted(starts, places, "right") - 1
+    special = np.zeros(len(starts) + 1, bool)
+    special[word_at(np.flatnonzero((data >= 128) | (data == ord("|"))))] = True
+    back = changed[special[word_at(changed)]]
+    low[back] = data[back]
+    return low
+
+
 class Encoder:
     """Token ids of many texts; a word that returns is encoded once.
 
     The tokenizer splits at white space before anything else, and parts stops from the letter before them, so the ids of a text
-    are those of its words and stops in a row. Words are told apart by 64 bits of hash, with A-Z as a-z, as the tokenizer takes
-    them. All is forgotten when too much is known, so memory is bounded.
+    are those of its words and stops in a row. Words are the same if their bytes are. All is forgotten when too much is known, so
+    memory is bounded.
     """
     MOST_WORDS, MOST_IDS, AT_ONCE = 300_000, 2_000_000, 2_000
 
@@ -108,47 +121,48 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(packing.path())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.end = packing.end_id
         self.forget()
 
     def forget(self) -> None:
         """Know the end id alone, as word 0."""
-        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)  # known words, by ascending hash
+        self.known: dict[bytes, int] = {}
         self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end], np.uint32)  # by number
 
-    def learn(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Numbers of words with these distinct, ascending hashes; ``word(k)`` is the text of the k-th, for those that are new."""
-        if len(self.hashes) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of different words."""
+        if len(self.known) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
             self.forget()
-        at = np.searchsorted(self.hashes, hashes)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == hashes[known]
-        new = np.flatnonzero(~known)
+        numbers = list(map(self.known.get, words))
+        new = [k for k, n in enumerate(numbers) if n is None]
         sizes, flat = [self.sizes], [self.flat]
-        for k in range(0, len(new), self.AT_ONCE):
-            some = [word(i) for i in new[k:k + self.AT_ONCE].tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        for at in range(0, len(new), self.AT_ONCE):
+            some = [words[k] for k in new[at:at + self.AT_ONCE]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        fresh = np.arange(len(self.sizes), len(self.sizes) + len(new))
+        for k, n in zip(new, range(len(self.sizes), len(self.sizes) + len(new))):
+            numbers[k] = self.known[words[k]] = n
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        out = np.empty(len(hashes), np.int64)
-        out[known], out[new] = self.numbers[at[known]], fresh
-        self.numbers = np.insert(self.numbers, at[new], fresh)
-        self.hashes = np.insert(self.hashes, at[new], hashes[new])
-        return out
+        return np.array(numbers, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and where each text's begin. ``texts``: from ``pieces``."""
-        hashes, first, data, starts, ends = word_spans(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"))
-        distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-        numbers = self.learn(distinct, lambda k: data[starts[at[k]]:ends[at[k]]].tobytes().decode())
+        data, starts, ends, first = word_places(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"))
+        data = lower_plain(data, starts)
+        spans = Spans(data, starts, ends)
+        same = first_of_equals(spans, np.zeros(len(starts), np.int64))
+        distinct = np.flatnonzero(same == np.arange(len(same)))
+        raw = data.tobytes()
+        numbers = np.empty(len(same), np.int64)
+        numbers[distinct] = self.learn([raw[a:b] for a, b in zip(starts[distinct].tolist(), ends[distinct].tolist())])
         first = first + np.arange(len(first))  # an end after each text
         order = np.zeros(first[-1], np.int64)
         inside = np.ones(first[-1], bool)
         inside[first[1:] - 1] = False
-        order[inside] = numbers[place]
+        order[inside] = numbers[same]
         n, begin = self.sizes[order], np.cumsum(self.sizes) - self.sizes
         stops = np.concatenate([[0], np.cumsum(n)])
         out = self.flat[np.repeat(begin[order] - stops[:-1], n) + np.arange(stops[-1])]

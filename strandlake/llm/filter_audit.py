@@ -13,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.words import mix, pieces
+from strandlake.llm.words import Spans, bytes_of, first_of_equals, pieces
 from strandlake.operators.lookup import lookup
 from strandlake.sources.store import materialize
 
 SPACES = b"\t\n\v\f\r "
 BEGINS, ENDS, CAPITAL, FOLLOWS, SYMBOL = 1, 2, 4, 8, 16  # what the machine says about a byte; FOLLOWS: inside a code point
-LONG_WORD = 512  # bytes from which a word is hashed and compared on its own
 
 
 @dataclass(frozen=True)
@@ -63,80 +62,6 @@ class Machine:
         return np.stack([count(starts), count(place(CAPITAL)), sizes - count(place(FOLLOWS)), count(place(SYMBOL))], 1), starts, ends
 
 
-class Spans:
-    """Words as spans of bytes: hashes and comparisons of many of them, eight bytes at a time."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        self.eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-        self.data, self.starts, self.sizes = data, starts, ends - starts
-
-    def _eight(self, which: np.ndarray, at: int) -> np.ndarray:
-        """Bytes ``at`` to ``at + 8`` of words that have more than ``at``; zeros beyond the end."""
-        left = np.minimum(self.sizes[which] - at, 8).astype(np.uint64)
-        return self.eights[self.starts[which] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
-
-    def _bytes(self, word: int) -> bytes:
-        return self.data[self.starts[word]:self.starts[word] + self.sizes[word]].tobytes()
-
-    def hashes(self) -> np.ndarray:
-        out = mix(self.sizes.astype(np.uint64))
-        which = np.flatnonzero(self.sizes < LONG_WORD)
-        for at in range(0, LONG_WORD, 8):
-            which = which[self.sizes[which] > at]
-            if not len(which):
-                break
-            out[which] = mix(out[which] ^ self._eight(which, at))
-        for word in np.flatnonzero(self.sizes >= LONG_WORD).tolist():
-            out[word] = hash(self._bytes(word)) & 0xFFFFFFFFFFFFFFFF
-        return out
-
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = self.sizes[a] == self.sizes[b]
-        open_ = np.flatnonzero(out & (self.sizes[a] < LONG_WORD))
-        for at in range(0, LONG_WORD, 8):
-            open_ = open_[self.sizes[a[open_]] > at]
-            if not len(open_):
-                break
-            same = self._eight(a[open_], at) == self._eight(b[open_], at)
-            out[open_[~same]] = False
-            open_ = open_[same]
-        for k in np.flatnonzero(out & (self.sizes[a] >= LONG_WORD)).tolist():
-            out[k] = self._bytes(a[k]) == self._bytes(b[k])
-        return out
-
-
-def first_of_equals(spans: Spans, texts: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
-    """For each word the place of the word that stands for all equal ones of its text (``texts``: number of each word's text).
-
-    An open-addressing table into which all words that are still without an answer are put at once: a free slot goes to the
-    first of them, whoever finds an equal word of its text there is done, the others go on to the next slot.
-    """
-    hashes = spans.hashes() if hashes is None else hashes
-    hashes = mix(hashes ^ mix(texts.astype(np.uint64)))
-    mask = (1 << max(4, int(2 * len(hashes)).bit_length())) - 1
-    table, out = np.full(mask + 1, -1, np.int64), np.empty(len(hashes), np.int64)
-    waiting, slot = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
-    while len(waiting):
-        free = np.flatnonzero(table[slot] < 0)[::-1]  # backwards, so that the first of several wins
-        table[slot[free]] = waiting[free]
-        owner = table[slot]
-        found = owner == waiting
-        open_ = np.flatnonzero(~found & (hashes[owner] == hashes[waiting]) & (texts[owner] == texts[waiting]))
-        found[open_] = spans.equal(owner[open_], waiting[open_])
-        out[waiting[found]] = owner[found]
-        waiting, slot = waiting[~found], (slot[~found] + 1) & mask
-    return out
-
-
-def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of texts from ``pieces``, and where each text begins (one number more than texts)."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    return data, offsets - offsets[0]
-
-
 COUNTS = ["n_words", "n_capitals", "n_points", "n_symbols", "n_distinct"]
 
 

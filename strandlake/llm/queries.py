@@ -10,6 +10,7 @@ from strandlake.llm.filter_audit import audit
 from strandlake.llm.hash_tree import even_tree, grown, shard_documents
 from strandlake.llm.jaccard_regions import link_documents
 from strandlake.llm.line_spread import remove_spread_lines
+from strandlake.llm.period_runs import find_runs, longest, with_echoes
 from strandlake.llm.preference_pairs import completion, echo_pairs, format_pairs, mask
 from strandlake.llm.secret_forest import scan
 from strandlake.llm.site_bayes import score
@@ -114,3 +115,13 @@ def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode_texts(table(spark, sf_dir, "documents"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2(decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+@query()
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in every text, a tenth of which repeats itself from some word on."""
+    found = find_runs(with_echoes(table(spark, sf_dir, "documents"))).withColumn("top", longest("runs"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                        F.expr("1000 * top.length div top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -8,15 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE = 1 << 20  # bytes of text that are worked on at once
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG_WORD = 512  # bytes from which a word is hashed and compared on its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,16 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        n = max(n, PIECE + (1 << 16))
-        for name, base in (("up", _P), ("down", _P_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, pa.Array]]:
     """Cut a string array into runs of rows of about ``size`` bytes: first row and slice. Nulls become empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -48,37 +37,101 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, pa.Array]]
         at = to
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin (one number more than texts). ``texts``: from ``pieces``."""
-    return word_spans(texts)[:2]
-
-
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What ``word_hashes`` gives, and the bytes of the texts with the places where each word begins and ends."""
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts from ``pieces``, and where each text begins (one number more than texts)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts from ``pieces``, the places where words begin and end, and where each text's words begin."""
+    data, offsets = bytes_of(texts)
     if not len(data):
         none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), data, none, none
+        return data, none, none, np.zeros(len(texts) + 1, np.int64)
     space = _SPACE[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[0], before[1:], after[-1], after[:-1] = True, space[:-1], True, space[1:]
     before[offsets[:-1][offsets[:-1] < len(data)]] = True
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # a long text in pieces, too
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
-        base, top = starts[at], ends[to - 1]
-        up, down = _powers(top - base)
-        sums = np.zeros(top - base + 1, np.uint64)
-        np.cumsum((_LOWER[data[base:top]].astype(np.uint64) + np.uint64(1)) * up[:top - base], out=sums[1:])
-        out[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base]
-        at = to
-    return mix(out), np.searchsorted(starts, offsets).astype(np.int64), data, starts, ends
+    return data, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+class Spans:
+    """Words as spans of bytes: hashes and comparisons of many of them, eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        self.data, self.starts, self.sizes = data, starts, ends - starts
+
+    def _eight(self, which: np.ndarray, at: int) -> np.ndarray:
+        """Bytes ``at`` to ``at + 8`` of words that have more than ``at``; zeros beyond the end."""
+        left = np.minimum(self.sizes[which] - at, 8).astype(np.uint64)
+        return self.eights[self.starts[which] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.starts[k]:self.starts[k] + self.sizes[k]].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        """64 bits for each word, the same on every machine."""
+        out = mix(self.sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        which = np.flatnonzero(self.sizes < LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            which = which[self.sizes[which] > at]
+            if not len(which):
+                break
+            out[which] = mix(out[which] ^ self._eight(which, at)) + np.uint64(0x9E3779B97F4A7C15)
+        for k in np.flatnonzero(self.sizes >= LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.word(k))
+        return mix(out)
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words ``a[k]`` and ``b[k]`` have the same bytes."""
+        out = self.sizes[a] == self.sizes[b]
+        open_ = np.flatnonzero(out & (self.sizes[a] < LONG_WORD))
+        for at in range(0, LONG_WORD, 8):
+            open_ = open_[self.sizes[a[open_]] > at]
+            if not len(open_):
+                break
+            same = self._eight(a[open_], at) == self._eight(b[open_], at)
+            out[open_[~same]] = False
+            open_ = open_[same]
+        for k in np.flatnonzero(out & (self.sizes[a] >= LONG_WORD)).tolist():
+            out[k] = self.word(a[k]) == self.word(b[k])
+        return out
+
+
+def first_of_equals(spans: Spans, texts: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """For each word the place of the word that stands for all equal ones of its text (``texts``: number of each word's text).
+
+    An open-addressing table into which all words that are still without an answer are put at once: a free slot goes to the
+    first of them, whoever finds an equal word of its text there is done, the others go on to the next slot.
+    """
+    hashes = spans.hashes() if hashes is None else hashes
+    hashes = mix(hashes ^ mix(texts.astype(np.uint64)))
+    mask = (1 << max(4, int(2 * len(hashes)).bit_length())) - 1
+    table, out = np.full(mask + 1, -1, np.int64), np.empty(len(hashes), np.int64)
+    waiting, slot = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+    while len(waiting):
+        free = np.flatnonzero(table[slot] < 0)[::-1]  # backwards, so that the first of several wins
+        table[slot[free]] = waiting[free]
+        owner = table[slot]
+        found = owner == waiting
+        open_ = np.flatnonzero(~found & (hashes[owner] == hashes[waiting]) & (texts[owner] == texts[waiting]))
+        found[open_] = spans.equal(owner[open_], waiting[open_])
+        out[waiting[found]] = owner[found]
+        waiting, slot = waiting[~found], (slot[~found] + 1) & mask
+    return out
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z as a-z, and where each text's words begin (one number more than texts). ``texts``: from ``pieces``."""
+    data, starts, ends, first = word_places(texts)
+    return Spans(LOWER[data], starts, ends).hashes(), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

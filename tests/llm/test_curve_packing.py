@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from strandlake.llm.curve_packing import Packing, hilbert_key, pack_documents, project
+from strandlake.llm.curve_packing import Encoder, Packing, hilbert_key, pack_documents, project
 from strandlake.llm.words import pieces, word_hashes
 
 
@@ -30,7 +31,6 @@ def test_pieces_hold_the_tokenizers_ids(spark, words):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, part int")
     got = pack_documents(df, Packing(bytes_per_part=20_000), with_ids=True).collect()
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    tokenizer.encode_special_tokens = True
     want = sorted((d is None, d or 0, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [2])) for d, t in rows)
     whole, sequences = {}, {}
     for r in got:
@@ -55,10 +55,27 @@ def test_pieces_hold_the_tokenizers_ids(spark, words):
     assert sorted(full)[1:] == [4096] * (len(full) - 1)
 
 
+def test_ids_of_any_text():
+    """Random code points, special tokens, letters that change in lower case, composed and decomposed, and Thue-Morse words."""
+    rng, encoder = random.Random(9), Encoder(Packing())
+    parts = [*"İIéΣ.,! \n\x1caB1½ª漢한#ß;ΩǅJTHWY", "e\u0301", "\u030c", "\u0307", "\u0331", "'s", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    ranges = [(32, 127), (0x80, 0x2FF), (0x300, 0x2FFF), (0x3000, 0xD7FF), (0xE000, 0x1FFFF)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    texts += ["".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    word, swap = "ab", str.maketrans("ab", "ba")
+    for _ in range(9):
+        word += word.translate(swap)
+    texts += [word, word.translate(swap), f"{word} {word.translate(swap)}"]
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    for at, piece in pieces(pa.array(texts), 1 << 14):
+        ids, first = encoder.encode(piece)
+        for k in range(len(piece)):
+            assert ids[first[k]:first[k + 1]].tolist() == [*tokenizer.encode(texts[at + k], add_special_tokens=False).ids, 2], texts[at + k]
+
+
 def test_similar_documents_stand_together(words):
     base = [words(200) for _ in range(40)]
     near = [w[:190] + words(10) for w in base]
-    import pyarrow as pa
     texts = pa.array([" ".join(w) for w in base + near])
     points = np.concatenate([project(*word_hashes(p), Packing()) for _, p in pieces(texts)])
     place = np.argsort(np.argsort(hilbert_key(points, 8)))

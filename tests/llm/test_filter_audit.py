@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandlake.llm.filter_audit import NAMES, Rules, Spans, audit, counts_of, first_of_equals
+from strandlake.llm.filter_audit import NAMES, Rules, audit, counts_of
+from strandlake.llm.words import Spans, first_of_equals
 
 
 def brute_counts(text):
