@@ -44,7 +44,8 @@ class Grammar:
         while True:
             level = Level(symbols)
             self.levels.append(level)
-            if len(np.unique(symbols)) == len(symbols):
+            ordered = np.sort(symbols)
+            if (ordered[1:] != ordered[:-1]).all():
                 return
             symbols = self._next(level)
 
