@@ -9,7 +9,6 @@ import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.words import LOWER, Spans, first_of_equals, mix, pieces, word_hashes, word_places
+from strandlake.llm.known_words import KnownWords
+from strandlake.llm.words import LOWER, mix, pieces, word_hashes, word_places
 from strandlake.operators.lookup import lookup
 from strandlake.sources.store import materialize
 
@@ -109,64 +109,31 @@ def lower_plain(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of many texts; a word that returns is encoded once.
+    """Token ids of many texts.
 
     The tokenizer splits at white space before anything else, and parts stops from the letter before them, so the ids of a text
-    are those of its words and stops in a row. Words are the same if their bytes are. All is forgotten when too much is known, so
-    memory is bounded.
+    are those of its words and stops in a row.
     """
-    MOST_WORDS, MOST_IDS, AT_ONCE = 300_000, 2_000_000, 2_000
 
     def __init__(self, packing: Packing):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(packing.path())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.end = packing.end_id
-        self.forget()
-
-    def forget(self) -> None:
-        """Know the end id alone, as word 0."""
-        self.known: dict[bytes, int] = {}
-        self.sizes, self.flat = np.ones(1, np.int64), np.array([self.end], np.uint32)  # by number
-
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of different words."""
-        if len(self.known) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
-            self.forget()
-        numbers = list(map(self.known.get, words))
-        new = [k for k, n in enumerate(numbers) if n is None]
-        sizes, flat = [self.sizes], [self.flat]
-        for at in range(0, len(new), self.AT_ONCE):
-            some = [words[k] for k in new[at:at + self.AT_ONCE]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        for k, n in zip(new, range(len(self.sizes), len(self.sizes) + len(new))):
-            numbers[k] = self.known[words[k]] = n
-        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        return np.array(numbers, np.int64)
+        tokenizer = Tokenizer.from_file(packing.path())
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.words = KnownWords(tokenizer, packing.end_id)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and where each text's begin. ``texts``: from ``pieces``."""
         data, starts, ends, first = word_places(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"))
-        data = lower_plain(data, starts)
-        spans = Spans(data, starts, ends)
-        same = first_of_equals(spans, np.zeros(len(starts), np.int64))
-        distinct = np.flatnonzero(same == np.arange(len(same)))
-        raw = data.tobytes()
-        numbers = np.empty(len(same), np.int64)
-        numbers[distinct] = self.learn([raw[a:b] for a, b in zip(starts[distinct].tolist(), ends[distinct].tolist())])
+        numbers = self.words.numbers(lower_plain(data, starts), starts, ends)
         first = first + np.arange(len(first))  # an end after each text
         order = np.zeros(first[-1], np.int64)
         inside = np.ones(first[-1], bool)
         inside[first[1:] - 1] = False
-        order[inside] = numbers[same]
-        n, begin = self.sizes[order], np.cumsum(self.sizes) - self.sizes
-        stops = np.concatenate([[0], np.cumsum(n)])
-        out = self.flat[np.repeat(begin[order] - stops[:-1], n) + np.arange(stops[-1])]
-        return out, stops[first]
+        order[inside] = numbers
+        ids, stops = self.words.ids(order)
+        return ids, stops[first]
 
 
 def _encode(packing: Packing):

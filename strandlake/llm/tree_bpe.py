@@ -12,7 +12,6 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,10 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.words import pieces
+from strandlake.llm.known_words import KnownWords
+from strandlake.llm.words import bytes_of, pieces
 from strandlake.operators.lookup import lookup
 
 ENCODED = 1 << 19  # bytes of short texts, or ids, that are worked on at once
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
 _CODECS: dict["Coding", "Codec"] = {}  # of this worker
 
 
@@ -54,6 +55,20 @@ def _letters() -> list[str]:
     return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
+def _word_borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each byte surely begins a word of the splitter; ``offsets``: where texts begin."""
+    padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(1, np.uint8)])
+    before, lead, after = padded[1:-2], padded[:-3], padded[3:]
+    solid = lambda byte: (byte > 32) & (byte < 127)
+    alone = (solid(before) | (lead == 0xC3)) & (solid(after) | (after == 0xC3))  # C3 leads the characters U+00C0 to U+00FF
+    line = (data == 10) & alone
+    letter = ((before | 32) >= ord("a")) & ((before | 32) <= ord("z"))
+    out = ((data == 32) & alone) | line | (_STOP[data] & letter)
+    out[1:] |= line[:-1]
+    out[offsets[:-1][np.diff(offsets) > 0]] = True
+    return out
+
+
 class Codec:
     """A byte-level tokenizer without a normalizer."""
     FIRST_WINDOW, FIRST_REACH = 4, 64  # tokens inside a word, bytes to the right of a cut
@@ -64,6 +79,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(coding.path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known = KnownWords(self.tokenizer)
         self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         added = self.tokenizer.get_added_tokens_decoder()
         if self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
@@ -82,9 +98,15 @@ class Codec:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
     def encode_short(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of whole texts in a row and where each text's begin, by the library."""
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(rows), np.int32), np.cumsum([0, *map(len, rows)])
+        """Ids of whole texts in a row and where each text's begin. ``texts``: from ``pieces``.
+
+        Texts are cut where the splitter surely begins a word: at one blank, at and behind one line end, each between characters that
+        are surely no white space, and at a stop behind a letter.
+        """
+        data, offsets = bytes_of(texts)
+        starts = np.flatnonzero(_word_borders(data, offsets))
+        ids, stops = self.known.ids(self.known.numbers(data, starts, np.append(starts[1:], len(data))[:len(starts)]))
+        return ids.astype(np.int32), stops[np.searchsorted(starts, offsets)]
 
     def leaf(self, data: bytes, start: int, end: int) -> Node:
         e = self.tokenizer.encode(data[start:end].decode(), add_special_tokens=False)

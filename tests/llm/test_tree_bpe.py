@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from strandlake.llm.queries import op12_tree_bpe
 from strandlake.llm.tree_bpe import Coding, Codec, cuts, decode_array, decode_ids, encode_texts
+from strandlake.llm.words import pieces
 
 FRAGMENTS = ["<|endoftext|>", "<|endof", "text|>", "'s", "'re", "'", " the", " ", "  ", "\n", " ", "İ", "🦆", "漢字", "aaaa", "ab", "-----", "tion", "ing", "1234"]
 
@@ -37,6 +38,18 @@ def test_joined_pieces_are_the_whole(tokenizer):
         assert node.begins.tolist() == (words[1:] != words[:-1]).tolist(), text
 
 
+def test_short_texts_of_any_kind(tokenizer):
+    rng, codec = random.Random(8), Codec(Coding())
+    parts = [*FRAGMENTS, *" \xa0\u2003\x1c\x85éñüÀ.a1", "\u3000", "\u200b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice([32, rng.randint(9, 127), rng.randint(0x80, 0x24F), rng.randint(0x2000, 0x206F), rng.randint(0xE000, 0x1FFFF)]))
+                      for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for at, piece in pieces(pa.array(texts), 1 << 13):
+        ids, first = codec.encode_short(piece)
+        for k in range(len(piece)):
+            assert ids[first[k]:first[k + 1]].tolist() == tokenizer.encode(texts[at + k], add_special_tokens=False).ids, texts[at + k]
+
+
 def test_long_words(tokenizer):
     rng = random.Random(6)
     for text in ["a" * 70_001, "ab" * 20_000, " " * 50_000 + "x", "".join(rng.choice("abcdefghij") for _ in range(60_000)), "aé" * 20_000]:
