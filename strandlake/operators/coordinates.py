@@ -78,7 +78,7 @@ def attach_reference(rows: DataFrame, ref_tiles: DataFrame, salt_on, pos: str =
     tiles = ref_tiles.select("contig", F.col("tile").alias("_tile"), F.col("start").alias("_tile_start"), F.col("bases").alias("_tile_bases"))
     joined = lookup(rows.withColumn("_tile", F.floor((F.col(pos) - 1) / tile)), tiles, ["contig", "_tile"], salt_on, "left")
     size = length if isinstance(length, Column) else F.lit(length)
-    at, held = offset_in_tile(F.col(pos), F.col("_tile_start"), tile), F.length("_tile_bases")
+    at, held = offset_in_tile(F.col(pos), F.col("_tile_start"), tile), F.octet_length("_tile_bases")
     cut = (at + size - 1 > held) & (held >= tile + overlap)
     bases = F.when(cut, F.raise_error(F.lit(f"a stretch of reference runs out of its tile of {tile} and {overlap} bases"))).otherwise(
         F.substring("_tile_bases", at, size.cast("int")))

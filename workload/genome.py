@@ -235,7 +235,8 @@ PLACED_COLUMNS = ["sample", "frag", "flags", "contig", "pos", "end", "mapq", "ci
 def read_placements(spark, sf):
     from strandlake.functions.fields import tag
     tiles = t.ref_tiles(spark, sf)
-    rows = alignment.align_seed_extend(t.reads(spark, sf, gapped=False), alignment.build_kmer_index(tiles), tiles)
+    index = store.materialize(alignment.build_kmer_index(tiles), "kmer-index")
+    rows = alignment.align_seed_extend(t.reads(spark, sf, gapped=False), index, tiles)
     return rows.withColumn("nm", tag(F.col("tags"), "NM", "int")).select(*PLACED_COLUMNS)
 
 
