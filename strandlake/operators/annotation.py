@@ -2,19 +2,26 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import revcomp
+from strandlake.operators.coordinates import attach_reference
+from strandlake.operators.lookup import lookup
+from strandlake.sources.fasta import TILE
 from strandlake.sources.store import materialize
 
 BIN = 16_384
 
 # Consequence terms from most to least severe, with their impact.
 CONSEQUENCES = [
-    ("frameshift_variant", "HIGH"), ("inframe_insertion", "MODERATE"), ("inframe_deletion", "MODERATE"),
-    ("coding_sequence_variant", "MODIFIER"), ("5_prime_UTR_variant", "MODIFIER"), ("3_prime_UTR_variant", "MODIFIER"),
+    ("stop_gained", "HIGH"), ("frameshift_variant", "HIGH"), ("stop_lost", "HIGH"), ("start_lost", "HIGH"),
+    ("inframe_insertion", "MODERATE"), ("inframe_deletion", "MODERATE"), ("missense_variant", "MODERATE"),
+    ("stop_retained_variant", "LOW"), ("synonymous_variant", "LOW"), ("coding_sequence_variant", "MODIFIER"), ("5_prime_UTR_variant", "MODIFIER"), ("3_prime_UTR_variant", "MODIFIER"),
     ("non_coding_transcript_exon_variant", "MODIFIER"), ("intron_variant", "MODIFIER"),
     ("transcript_variant", "MODIFIER"), ("upstream_gene_variant", "MODIFIER"), ("downstream_gene_variant", "MODIFIER"),
     ("intergenic_variant", "MODIFIER"),
 ]
-EMPTY_CSQ_FIELDS = 10  # between BIOTYPE and DISTANCE
+# Amino acids of the standard genetic code, by codons in the order of the bases TCAG; * is a stop.
+AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+CODING_FIELDS = ["cds_position", "protein_position", "amino_acids", "codons"]
 CSQ_FORMAT = ("Allele|Consequence|IMPACT|SYMBOL|Gene|Feature_type|Feature|BIOTYPE|EXON|INTRON|HGVSc|HGVSp|cDNA_position|"
               "CDS_position|Protein_position|Amino_acids|Codons|Existing_variation|DISTANCE|STRAND")
 
@@ -38,11 +45,72 @@ def changed_span(variants: DataFrame) -> DataFrame:
         (F.length("alt") - F.length("ref")).alias("shift"))
 
 
-def consequences(variants: DataFrame, features: DataFrame, upstream: int = 5000, bin_size: int = BIN) -> DataFrame:
+def _translated(bases: Column) -> Column:
+    """Amino acids of whole codons; X for a codon with a base other than A, C, G and T."""
+    at = lambda k, i: F.instr(F.lit("TCAG"), F.substring(bases, 3 * k + i, F.lit(1)))
+    acid = lambda k: F.when(F.least(at(k, 1), at(k, 2), at(k, 3)) > 0, F.substring(
+        F.lit(AMINO_ACIDS), 16 * (at(k, 1) - 1) + 4 * (at(k, 2) - 1) + at(k, 3), F.lit(1))).otherwise("X")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(bases) / 3).cast("int") - 1), acid), "")
+
+
+def coding_changes(hits: DataFrame, features: DataFrame, ref_tiles: DataFrame, tile: int = TILE) -> DataFrame:
+    """What substitutions do to the protein: ``contig, pos, ref, alt, transcript``, a ``term`` and ``CODING_FIELDS``.
+
+    ``hits (contig, pos, ref, alt, transcript)`` are alleles as long as their reference. The coding segments of a transcript are
+    spliced in the direction of its strand, and each base of the codons that an allele touches, wherever it lies in the genome,
+    is looked up in the reference on its own. Alleles that reach out of the coding segments and codons that the transcript
+    doesn't finish give no row. A column ``phase`` of ``features`` tells how many bases the first segment's codon lacks.
+    """
+    phase = F.col("phase") if "phase" in features.columns else F.lit(0)
+    cds = features.filter("feature = 'CDS'").groupBy("contig", "transcript").agg(
+        F.max("strand").alias("strand"), F.sort_array(F.collect_list(F.struct("start", "end", F.coalesce(phase, F.lit(0)).cast("int").alias("phase")))).alias("segs"))
+    ahead = F.col("strand") == "+"
+    order = F.when(ahead, F.col("segs")).otherwise(F.reverse("segs"))
+    size = lambda x: x["end"] - x["start"] + 1
+    before = lambda i: F.aggregate(F.slice("segs", 1, i), F.lit(0).cast("long"), lambda n, x: n + size(x))
+    spliced = (cds.withColumn("segs", order).withColumn("skip", F.col("segs")[0]["phase"])
+               .withColumn("total", before(F.size("segs")) - F.col("skip"))
+               .withColumn("segs", F.transform("segs", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), (before(i) - F.col("skip")).alias("before")))))
+    found = lookup(hits, spliced, ["contig", "transcript"], ["pos", "alt"])
+    place = lambda g: F.try_element_at(F.transform(F.filter("segs", lambda x: g.between(x["start"], x["end"])),  # noqa: E731 - null outside
+                                                   lambda x: x["before"] + F.when(ahead, g - x["start"]).otherwise(x["end"] - g)), F.lit(1))
+    ends = found.withColumns({"_a": place(F.col("pos")), "_b": place(F.col("pos") + F.length("ref") - 1)})
+    lo, hi = F.least("_a", "_b"), F.greatest("_a", "_b")
+    touched = ends.withColumns({"lo": lo, "hi": hi}).filter(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("lo") >= 0) & (F.col("hi") - F.col("lo") == F.length("ref") - 1)
+                                                          & (3 * F.floor(F.col("hi") / 3) + 3 <= F.col("total")))
+    keys = ["contig", "pos", "ref", "alt", "transcript"]
+    bases = touched.select(*keys, "strand", "segs", "lo", "hi", F.explode(F.sequence(3 * F.floor(F.col("lo") / 3), 3 * F.floor(F.col("hi") / 3) + 2)).alias("o"))
+    held = F.element_at(F.filter("segs", lambda x: (F.col("o") >= x["before"]) & (F.col("o") < x["before"] + size(x))), 1)
+    placed = bases.withColumn("_seg", held).withColumn("g", F.when(ahead, F.col("_seg.start") + F.col("o") - F.col("_seg.before")).otherwise(
+        F.col("_seg.end") - F.col("o") + F.col("_seg.before"))).drop("segs", "_seg")
+    known = attach_reference(placed, ref_tiles, ["pos", "o"], pos="g", name="_base", tile=tile)
+    changed = F.col("g").between(F.col("pos"), F.col("pos") + F.length("ref") - 1)
+    new = F.when(changed, F.upper(F.substring("alt", (F.col("g") - F.col("pos") + 1).cast("int"), F.lit(1)))).otherwise(F.col("_base"))
+    facing = lambda c: F.when(ahead, c).otherwise(revcomp(c))
+    shown = lambda c: F.when(changed, F.upper(c)).otherwise(F.lower(c))  # noqa: E731 - a changed base in upper case
+    cells = known.withColumns({"_old": shown(facing(F.col("_base"))), "_new": shown(facing(new))})
+    codons = cells.groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("o", "_old", "_new"))).alias("c"))
+    text = lambda c: F.array_join(F.transform("c", lambda x: x[c]), "")
+    read = codons.select(*keys, "lo", "hi", text("_old").alias("old"), text("_new").alias("new")).filter(F.length("old") == 3 * F.floor(F.col("hi") / 3) + 3 - 3 * F.floor(F.col("lo") / 3))
+    acids = read.withColumns({"a": _translated(F.upper("old")), "b": _translated(F.upper("new"))})
+    a, b = F.col("a"), F.col("b")
+    term = (F.when(a.contains("X") | b.contains("X"), "coding_sequence_variant")
+            .when(a == b, F.when(a.contains("*"), "stop_retained_variant").otherwise("synonymous_variant"))
+            .when((F.col("lo") < 3) & a.startswith("M") & ~b.startswith("M"), "start_lost")
+            .when(b.contains("*") & ~a.contains("*"), "stop_gained").when(a.contains("*") & ~b.contains("*"), "stop_lost").otherwise("missense_variant"))
+    span = lambda x, y: F.concat_ws("-", x.cast("string"), F.when(x != y, y.cast("string")))
+    return acids.select(*keys, term.alias("term"), span(F.col("lo") + 1, F.col("hi") + 1).alias("cds_position"),
+                        span(F.floor(F.col("lo") / 3) + 1, F.floor(F.col("hi") / 3) + 1).alias("protein_position"),
+                        F.when(a == b, a).otherwise(F.concat_ws("/", a, b)).alias("amino_acids"), F.concat_ws("/", "old", "new").alias("codons"))
+
+
+def consequences(variants: DataFrame, features: DataFrame, upstream: int = 5000, bin_size: int = BIN, ref_tiles: DataFrame | None = None,
+                 tile: int = TILE) -> DataFrame:
     """One row per allele (``contig, pos, ref, alt``) and transcript within ``upstream`` bases, else one intergenic row.
 
     Both sides are cut into bins and joined on (contig, bin). A pair that shares several bins is kept in the first of
-    them only, so no distinct is needed. ``features`` holds transcript rows and, optionally, exon and CDS rows.
+    them only, so no distinct is needed. ``features`` holds transcript rows and, optionally, exon and CDS rows. With the reference
+    as ``ref_tiles``, substitutions in coding segments are told apart by what they do to the protein, and ``CODING_FIELDS`` filled.
     """
     alleles = changed_span(variants.select("contig", "pos", "ref", "alt").distinct())
     bins = lambda lo, hi: F.sequence(F.floor(lo / bin_size), F.floor(hi / bin_size))
@@ -93,6 +161,11 @@ def consequences(variants: DataFrame, features: DataFrame, upstream: int = 5000,
         nothing("gene"), nothing("feature_type"), nothing("feature"), nothing("biotype"), nothing("distance", "long"),
         nothing("strand", "int"))
     both = near.unionByName(far)
+    if ref_tiles is not None:
+        whole = (F.col("consequence") == "coding_sequence_variant") & (F.length("ref") == F.length("alt"))
+        changes = coding_changes(both.filter(whole).select("contig", "pos", "ref", "alt", F.col("feature").alias("transcript")), features, ref_tiles, tile)
+        both = both.join(changes.withColumnRenamed("transcript", "feature"), ["contig", "pos", "ref", "alt", "feature"], "left")
+        both = both.withColumn("consequence", F.coalesce("term", "consequence")).drop("term")
     return both.withColumn("impact", F.element_at(_by_term(1), F.col("consequence")))
 
 
@@ -109,21 +182,23 @@ def pick_consequence(csq: DataFrame, per: str = "allele") -> DataFrame:
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
-def csq_text() -> Column:
-    """One ``CSQ`` entry: allele, consequence, impact, gene and transcript fields, distance and strand."""
+def csq_text(coding: bool = False) -> Column:
+    """One ``CSQ`` entry: allele, consequence, impact, gene and transcript fields, those of the protein if ``coding``, distance and strand."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     names = ("allele", "consequence", "impact", "symbol", "gene", "feature_type", "feature", "biotype")
-    return F.concat_ws("|", *[blank(c) for c in names], *[F.lit("")] * EMPTY_CSQ_FIELDS, blank("distance"), blank("strand"))
+    coding_ = [blank(c) if coding else F.lit("") for c in CODING_FIELDS]
+    return F.concat_ws("|", *[blank(c) for c in names], *[F.lit("")] * 5, *coding_, F.lit(""), blank("distance"), blank("strand"))
 
 
-def annotate(variants: DataFrame, features: DataFrame, upstream: int = 5000, pick: bool = False) -> DataFrame:
+def annotate(variants: DataFrame, features: DataFrame, upstream: int = 5000, pick: bool = False, ref_tiles: DataFrame | None = None,
+             tile: int = TILE) -> DataFrame:
     """Variants with a ``CSQ`` entry in INFO. The entry lists the transcripts near a site, as the format requires."""
     keyed = variants.withColumn("_alts", F.array_join("alts", ","))
     alleles = keyed.select("contig", "pos", "ref", "_alts", F.explode("alts").alias("alt")).distinct()
-    csq = consequences(alleles, features, upstream)
+    csq = consequences(alleles, features, upstream, ref_tiles=ref_tiles, tile=tile)
     if pick:
         csq = pick_consequence(csq)
-    text = alleles.join(csq.withColumn("text", csq_text()).select("contig", "pos", "ref", "alt", "text"),
+    text = alleles.join(csq.withColumn("text", csq_text(ref_tiles is not None)).select("contig", "pos", "ref", "alt", "text"),
                         ["contig", "pos", "ref", "alt"])
     site = text.groupBy("contig", "pos", "ref", "_alts").agg(F.array_join(F.sort_array(F.collect_list("text")), ",").alias("_csq"))
     out = keyed.join(site, ["contig", "pos", "ref", "_alts"], "left")

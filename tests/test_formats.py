@@ -49,6 +49,14 @@ def test_mate_files(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, pairs.collect()))
     with pytest.raises(Exception, match="no matching mate"):
         interleave(sides[0], sides[1].filter("ord = 0")).collect()
+    for lane, base in (("l1", "A"), ("l2", "C")):
+        (tmp_path / f"{lane}_1.fastq").write_text(record(f"{lane}x/1", base) + record(f"{lane}y/1", base * 2))
+        (tmp_path / f"{lane}_2.fastq").write_text(record(f"{lane}x/2", base * 3) + record(f"{lane}y/2", base * 4))
+    lanes = interleave(*[fastq.read_fastq(spark, [str(tmp_path / f"l{n}_{i}.fastq") for n in (1, 2)], "s") for i in (1, 2)]).collect()
+    assert sorted((r["sample"], r["frag"], *[x["bases"] for x in r["reads"]]) for r in lanes) == [
+        ("s", "l1x", "A", "AAA"), ("s", "l1y", "AA", "AAAA"), ("s", "l2x", "C", "CCC"), ("s", "l2y", "CC", "CCCC")]
+    for file in tmp_path.glob("l?_?.fastq"):
+        file.unlink()
     found = {(r["sample_id"], r["layout"], len(r["files"])) for r in samples.discover_samples(spark, str(tmp_path)).collect()}
     assert found == {("p", "paired", 2), ("q", "single", 1)}
 

@@ -145,9 +145,10 @@ def variant_calls(spark, sf):
 
 
 BLOCKS = """,
-quiet as (
-  select sample, contig, pos, dp, gq, case when gq < 20 then 0 when gq < 60 then 1 else 2 end as band from judged_sites where k = 0
+uncalled as (
+  select sample, contig, pos, dp, case when k = 0 then gq else 0 end as gq from judged_sites where not coalesce(k > 0 and a_depth >= 2 and alt_allele is not null, false)
 ),
+quiet as (select *, case when gq < 20 then 0 when gq < 60 then 1 else 2 end as band from uncalled),
 edges as (
   select *, case when pos = lag(pos) over w + 1 and band = lag(band) over w then 0 else 1 end as fresh from quiet window w as (partition by sample, contig order by pos)
 ),
@@ -198,6 +199,14 @@ def consequences(spark, sf):
     return annotation.consequences(_split(spark, sf), t.features(spark, sf), t.UPSTREAM).select(*CSQ_COLUMNS.split(", "))
 
 
+@query("coding_consequences", t.duck("""select contig, pos, ref, alt, transcript, term as consequence, cds_position, protein_position, amino_acids, codons from coding_terms""",
+                                     more=s.alleles() + s.coding()))
+def coding_consequences(spark, sf):
+    """What the substitutions in coding segments do to the protein."""
+    rows = annotation.consequences(_split(spark, sf), t.features(spark, sf), t.UPSTREAM, ref_tiles=t.ref_tiles(spark, sf))
+    return rows.filter("cds_position is not null").select("contig", "pos", "ref", "alt", F.col("feature").alias("transcript"), "consequence", *annotation.CODING_FIELDS)
+
+
 @query("picked_consequences", t.duck(f"""select {CSQ_COLUMNS} from (select *, row_number() over (partition by contig, pos, ref, alt
   order by severity, coalesce(distance, 0), feature) as r from csq) where r = 1""", more=s.consequences(t.UPSTREAM)))
 def picked_consequences(spark, sf):

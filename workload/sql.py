@@ -208,6 +208,47 @@ spanned as (
 )"""
 
 
+def coding() -> str:
+    """``coding_terms``: what single-base alleles in coding segments do to the protein."""
+    side = lambda c: f"case when strand = '+' then {c} else translate({c}, 'ACGT', 'TGCA') end"
+    acid = lambda c: ("substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', cast("
+                      + " + ".join(f"{4 ** (2 - i)} * (instr('TCAG', substr(upper({c}), {i + 1}, 1)) - 1)" for i in range(3)) + " + 1 as int), 1)")
+    return f""",
+letters as (
+  select contig, chunk * 32 + i + 1 as pos, substr(bases, cast(i + 1 as int), 1) as b from chunks cross join (select unnest(generate_series(0, 31)) as i)
+),
+segs as (
+  select contig, transcript, strand, start as s, "end" as e, sum("end" - start + 1) over (partition by contig, transcript) as total,
+         sum("end" - start + 1) over (partition by contig, transcript order by case when strand = '+' then start else -start end) - ("end" - start + 1) as before
+  from features where feature = 'CDS'
+),
+coded as (
+  select v.contig, v.pos, v.ref, v.alt, transcript, strand, total, before + case when strand = '+' then v.pos - s else e - v.pos end as c
+  from alleles v join segs g on v.contig = g.contig and v.pos between s and e where length(ref) = 1 and length(alt) = 1
+),
+codon_bases as (
+  select h.*, o, case when g.strand = '+' then s + (c - c % 3 + o) - before else e - (c - c % 3 + o) + before end as gp
+  from coded h cross join (select unnest(generate_series(0, 2)) as o) join segs g
+    on g.contig = h.contig and g.transcript = h.transcript and c - c % 3 + o >= before and c - c % 3 + o < before + e - s + 1
+),
+codon_letters as (
+  select k.*, {side("l.b")} as r, {side("case when gp = k.pos then alt else l.b end")} as a, gp = k.pos as here
+  from codon_bases k join letters l on l.contig = k.contig and l.pos = gp
+),
+codon_pairs as (
+  select contig, pos, ref, alt, transcript, c, string_agg(case when here then r else lower(r) end, '' order by o) as old,
+         string_agg(case when here then a else lower(a) end, '' order by o) as new
+  from codon_letters where c - c % 3 + 3 <= total group by all having count(*) = 3
+),
+acids as (select *, {acid("old")} as x, {acid("new")} as y from codon_pairs),
+coding_terms as (
+  select contig, pos, ref, alt, transcript, case when x = y and x = '*' then 'stop_retained_variant' when x = y then 'synonymous_variant'
+           when c < 3 and x = 'M' then 'start_lost' when y = '*' then 'stop_gained' when x = '*' then 'stop_lost' else 'missense_variant' end as term,
+         cast(cast(c + 1 as bigint) as varchar) as cds_position, cast(cast((c - c % 3) / 3 + 1 as bigint) as varchar) as protein_position,
+         case when x = y then x else concat(x, '/', y) end as amino_acids, concat(old, '/', new) as codons from acids
+)"""
+
+
 def consequences(upstream: int) -> str:
     return alleles() + f""",
 shape as (
