@@ -18,7 +18,6 @@ from strandlake.sources.store import materialize
 class Spread:
     """Limits of the removal."""
     min_sites: int = 10  # distinct sites from which a line is boilerplate
-    min_chars: int = 10  # shorter lines are never boilerplate
     log_k: int = 10  # size of a sketch: 2^log_k registers, relative error 1.04 / 2^(log_k / 2)
 
     @property
@@ -27,10 +26,10 @@ class Spread:
         return 5 * 1.04 / 2 ** (self.log_k / 2)
 
 
-def _lines(docs: DataFrame, spread: Spread, *more: Column) -> DataFrame:
-    """One row per line that is long enough: ``h1, h2`` (128 bits of hash), ``pos`` and ``more``."""
+def _lines(docs: DataFrame, *more: Column) -> DataFrame:
+    """One row per line with a word: ``h1, h2`` (128 bits of hash), ``pos`` and ``more``. Lines of white space alone are never boilerplate."""
     exploded = docs.select(*more, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return exploded.filter(F.length("line") >= spread.min_chars).select(
+    return exploded.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
         *[c for c in exploded.columns if c != "line"], F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
@@ -40,7 +39,7 @@ def _site(site: str) -> Column:
 
 def spread_lines(docs: DataFrame, site: str = "source", spread: Spread = Spread()) -> DataFrame:
     """Boilerplate lines with the place that keeps them: ``h1, h2, keep_doc, keep_pos``. A null site counts as one site."""
-    seen = _lines(docs, spread, _site(site), F.col("doc_id"))
+    seen = _lines(docs, _site(site), F.col("doc_id"))
     sketched = (seen.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(spread.log_k)).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("keep"))
                 .withColumn("sites", F.hll_sketch_estimate("sketch")).filter(F.col("sites") >= spread.min_sites * (1 - spread.margin))
                 .select("h1", "h2", "sites", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")))
@@ -58,10 +57,12 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", spread: Spread =
     """``docs`` with boilerplate lines cut from ``text``, and ``n_lines`` and ``n_removed`` (long) beside.
 
     A null text stays null with no lines; an empty text is one empty line. Lines that are cut leave no line break behind; a
-    document may end up empty. Rows that repeat a doc_id with the same text are treated alike. Other columns pass through.
+    document may end up empty. Rows that repeat a doc_id are one document: where one of them keeps a line's first place, each keeps
+    the line there; all rows without a doc_id are one document in this sense, before all others. Lines of any length count, and a
+    very long text is split within its row. Other columns pass through.
     """
     lines = materialize(spread_lines(docs, site, spread), "spread-lines")
-    found = lookup(_lines(docs, spread, F.col("doc_id"), F.xxhash64("text").alias("th")), lines, ["h1", "h2"], ["doc_id", "pos"], measure=True)
+    found = lookup(_lines(docs, F.col("doc_id"), F.xxhash64("text").alias("th")), lines, ["h1", "h2"], ["doc_id", "pos"], measure=True)
     cut = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("pos") == F.col("keep_pos"))))
     cuts = cut.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("doc_id").isNull().alias("__null"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__cut"))
     keyed = docs.select("*", F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("doc_id").isNull().alias("__null"), F.xxhash64("text").alias("__th"))

@@ -75,7 +75,7 @@ def line_spread(documents: str = "documents") -> str:
 SELECT d.*, c.new_text, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(c.n_removed, 0)::BIGINT AS n_removed FROM {documents} d LEFT JOIN (
     WITH lines AS (SELECT doc_id, coalesce(source, '') AS site, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
             unnest(string_split(text, chr(10))) AS line FROM {documents} WHERE text IS NOT NULL),
-        wide AS (SELECT line, min((doc_id, pos)) AS keep FROM lines WHERE length(line) >= {_S.min_chars} GROUP BY line HAVING count(DISTINCT site) >= {_S.min_sites}),
+        wide AS (SELECT line, min((doc_id, pos)) AS keep FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line HAVING count(DISTINCT site) >= {_S.min_sites}),
         marked AS (SELECT l.doc_id, l.pos, l.line, w.line IS NOT NULL AND (l.doc_id, l.pos) <> w.keep AS cut FROM lines l LEFT JOIN wide w ON l.line = w.line)
     SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS new_text, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed
     FROM marked GROUP BY doc_id) c ON d.doc_id = c.doc_id"""

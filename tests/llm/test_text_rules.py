@@ -10,7 +10,7 @@ def cut_lines(rows, spread):
     sites, keep = {}, {}
     for d, site, text in rows:
         for pos, line in enumerate(text.split("\n") if text is not None else []):
-            if len(line) >= spread.min_chars:
+            if re.search(r"[^\x20\x09-\x0D]", line):
                 sites.setdefault(line, set()).add(site or "")
                 place = (d is not None, d or 0, pos)
                 keep[line] = min(keep.get(line, place), place)
