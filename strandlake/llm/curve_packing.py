@@ -7,7 +7,6 @@ only the last one is padded.
 """
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -15,9 +14,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.batches import small_batches
 from strandlake.llm.known_words import KnownWords
 from strandlake.llm.words import LOWER, mix, pieces, word_hashes, word_places
 from strandlake.operators.lookup import lookup
@@ -26,7 +26,6 @@ from strandlake.sources.store import materialize
 
 STOPS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)([\x20\x09-\x0D]|$)"  # at the end of a word, behind a letter that stays one letter in lower case
 ENCODED = 1 << 19  # bytes of text that are encoded at once
-BATCH_ROWS = "1000"  # documents to an Arrow batch, which holds whole texts or their ids
 _ENCODERS: dict["Packing", "Encoder"] = {}  # of this worker, which runs one task after the other
 
 
@@ -160,18 +159,6 @@ def _encode(packing: Packing):
     return run
 
 
-@contextmanager
-def _batches(spark: SparkSession, rows: str):
-    """Other sizes of Arrow batches, for what runs inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def tokens_on_curve(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     """A stored table of all documents in curve order: ``doc_id, place`` (ids before it on the whole curve) and ``ids`` (binary, 4 bytes each)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -180,7 +167,7 @@ def tokens_on_curve(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     keyed = texts.withColumn("curve", _curve(packing)("text"))
     # equal keys (copies) are told apart by a hash, so that a large group of copies is spread over ranges
     ranged = keyed.withColumn("spread", F.xxhash64("doc_id")).repartitionByRange(parts, "curve", "spread", "doc_id").sortWithinPartitions("curve", "spread", "doc_id", "text")
-    with _batches(docs.sparkSession, BATCH_ROWS):
+    with small_batches(docs.sparkSession):
         stored = materialize(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(packing), "doc_id long, part int, place long, ids binary"), "curve")
     totals = stored.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -11,7 +11,7 @@ class KnownWords:
 
     Number 0 stands for ``end``, an id that belongs to no word.
     """
-    MOST_WORDS, MOST_IDS, AT_ONCE = 300_000, 2_000_000, 2_000
+    MOST_WORDS, MOST_IDS, AT_ONCE = 300_000, 2_000_000, 1_000
 
     def __init__(self, tokenizer, end: int = 0):
         self.tokenizer, self.end = tokenizer, end

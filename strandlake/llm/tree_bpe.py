@@ -8,6 +8,7 @@ place on where both sides begin a word the right piece's are. Within a word (whi
 a row of tokens is the word's encoding if any two neighbours are the encoding of their own bytes; so a window whose first and
 last tokens are those of the two sides can take their place.
 """
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -20,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.batches import small_batches
 from strandlake.llm.known_words import KnownWords
 from strandlake.llm.words import bytes_of, pieces
 from strandlake.operators.lookup import lookup
+from strandlake.sources.store import materialize
 
 ENCODED = 1 << 19  # bytes of short texts, or ids, that are worked on at once
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
-_CODECS: dict["Coding", "Codec"] = {}  # of this worker
+_CODECS: dict["Coding", "Vocabulary"] = {}  # of this worker
 
 
 @dataclass(frozen=True)
@@ -69,13 +72,41 @@ def _word_borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-class Codec:
+class Vocabulary:
+    """The bytes of each id, without the tokenizer."""
+
+    def __init__(self, coding: Coding):
+        back = {c: b for b, c in enumerate(_letters())}
+        with open(coding.path(), encoding="utf-8") as file:  # read as it is: the tokenizer itself takes far more memory
+            parts = json.load(file)
+        vocab = parts["model"]["vocab"] | {t["content"]: t["id"] for t in parts["added_tokens"]}
+        table = [b""] * (2 + max(vocab.values(), default=-1))  # the last is for ids outside the vocabulary, which have no text
+        for token, i in vocab.items():
+            table[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.sizes = np.array([len(b) for b in table], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def inside(self, ids: np.ndarray) -> np.ndarray:
+        """Ids with those outside the vocabulary as the last place of the table."""
+        return np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        ids = self.inside(ids)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Codec(Vocabulary):
     """A byte-level tokenizer without a normalizer."""
     FIRST_WINDOW, FIRST_REACH = 4, 64  # tokens inside a word, bytes to the right of a cut
 
     def __init__(self, coding: Coding):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
+        super().__init__(coding)
+        self.letters = np.array(_letters())
         self.tokenizer = Tokenizer.from_file(coding.path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -87,15 +118,6 @@ class Codec:
         self.added = {t.content: i for i, t in added.items()}
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.margin = 16 + max((len(t.encode()) for t in self.added), default=0)  # two code points behind a word, and an added token
-        self.letters = np.array(_letters())
-        back = {c: b for b, c in enumerate(self.letters.tolist())}
-        n = 1 + max(self.tokenizer.get_vocab().values(), default=-1)
-        table = [b""] * (n + 1)  # the last is for ids outside the vocabulary, which have no text
-        for token, i in self.tokenizer.get_vocab().items():
-            table[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        self.sizes = np.array([len(b) for b in table], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(table), np.uint8)
 
     def encode_short(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts in a row and where each text's begin. ``texts``: from ``pieces``.
@@ -123,12 +145,6 @@ class Codec:
     def word_ids(self, word: str) -> np.ndarray:
         return np.array([t.id for t in self.model.tokenize(word)], np.int64)
 
-    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
-        ids = np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
     def join_word(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The encoding of one word from those of its two parts."""
         window = self.FIRST_WINDOW
@@ -188,11 +204,13 @@ class Codec:
         return nodes[0]
 
 
-def codec(coding: Coding) -> Codec:
-    if coding not in _CODECS:
+def codec(coding: Coding, kind: type[Vocabulary] = Codec) -> Vocabulary:
+    """The codec (or the vocabulary alone) of this worker."""
+    known = _CODECS.get(coding)
+    if not isinstance(known, kind):
         _CODECS.clear()
-        _CODECS[coding] = Codec(coding)
-    return _CODECS[coding]
+        known = _CODECS[coding] = kind(coding)
+    return known
 
 
 def cuts(data: bytes, leaf: int) -> list[int]:
@@ -252,7 +270,7 @@ def _joined(coding: Coding):
 
 
 def encode_texts(docs: DataFrame, coding: Coding = Coding()) -> DataFrame:
-    """``doc_id, ids`` (array of int) for all rows of ``docs (doc_id, text, …)``: the ids that the tokenizer gives the whole text.
+    """A stored table ``doc_id, ids`` (array of int) for all rows of ``docs (doc_id, text, …)``: the ids that the tokenizer gives the whole text.
 
     A null or empty text has no ids. Texts of ``long_text`` bytes or more become rows of their pieces, which are dealt over all
     tasks, once for equal texts; one task then joins the pieces of a text, in memory for a few times that text. Null and
@@ -266,12 +284,13 @@ def encode_texts(docs: DataFrame, coding: Coding = Coding()) -> DataFrame:
     leaves = long.select(digest, "text").mapInArrow(_cut(coding), "digest binary, leaf int, data binary").dropDuplicates(["digest", "leaf"])
     encoded = leaves.mapInArrow(_leaves(coding), "digest binary, leaf int, data binary, ids binary, begins binary")
     whole = encoded.groupBy("digest").applyInArrow(_joined(coding), "digest binary, ids array<int>")
-    return short.unionByName(lookup(long.select("doc_id", digest), whole, "digest", "doc_id").select("doc_id", "ids"))
+    with small_batches(docs.sparkSession):
+        return materialize(short.unionByName(lookup(long.select("doc_id", digest), whole, "digest", "doc_id").select("doc_id", "ids")), "ids")
 
 
 def decode_array(ids: pa.Array, coding: Coding) -> pa.Array:
     """The texts of lists of ids; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
-    own, texts, at = codec(coding), [], 0
+    own, texts, at = codec(coding, Vocabulary), [], 0
     sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     while at < len(ids):
@@ -279,8 +298,7 @@ def decode_array(ids: pa.Array, coding: Coding) -> pa.Array:
         to = max(at + 1, int(np.searchsorted(ends, base + ENCODED, "right")))
         flat = ids.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         data = own.bytes_of(flat).tobytes()
-        inside = np.where((flat >= 0) & (flat < len(own.sizes) - 1), flat, len(own.sizes) - 1)
-        stops = np.concatenate([[0], np.cumsum(own.sizes[inside])])[np.concatenate([[0], ends[at:to] - base])].tolist()
+        stops = np.concatenate([[0], np.cumsum(own.sizes[own.inside(flat)])])[np.concatenate([[0], ends[at:to] - base])].tolist()
         texts += [data[a:b].decode("utf-8", "replace") for a, b in zip(stops, stops[1:])]
         at = to
     return pa.array(texts, pa.string())
