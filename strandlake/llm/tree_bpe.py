@@ -25,7 +25,7 @@ from strandlake.llm.batches import small_batches
 from strandlake.llm.known_words import KnownWords
 from strandlake.llm.words import bytes_of, pieces
 from strandlake.operators.lookup import lookup
-from strandlake.sources.store import materialize
+from strandlake.sources.store import scratch_path
 
 ENCODED = 1 << 19  # bytes of short texts, or ids, that are worked on at once
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
@@ -284,8 +284,11 @@ def encode_texts(docs: DataFrame, coding: Coding = Coding()) -> DataFrame:
     leaves = long.select(digest, "text").mapInArrow(_cut(coding), "digest binary, leaf int, data binary").dropDuplicates(["digest", "leaf"])
     encoded = leaves.mapInArrow(_leaves(coding), "digest binary, leaf int, data binary, ids binary, begins binary")
     whole = encoded.groupBy("digest").applyInArrow(_joined(coding), "digest binary, ids array<int>")
-    with small_batches(docs.sparkSession):
-        return materialize(short.unionByName(lookup(long.select("doc_id", digest), whole, "digest", "doc_id").select("doc_id", "ids")), "ids")
+    spark, rows = docs.sparkSession, short.unionByName(lookup(long.select("doc_id", digest), whole, "digest", "doc_id").select("doc_id", "ids"))
+    path = scratch_path(spark, "ids")
+    with small_batches(spark):
+        rows.write.option("compression", "zstd").parquet(path)  # ids take more room than texts otherwise
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def decode_array(ids: pa.Array, coding: Coding) -> pa.Array:
