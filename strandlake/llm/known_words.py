@@ -11,10 +11,10 @@ class KnownWords:
 
     Number 0 stands for ``end``, an id that belongs to no word.
     """
-    MOST_WORDS, MOST_IDS, AT_ONCE = 300_000, 2_000_000, 1_000
+    AT_ONCE = 1_000
 
-    def __init__(self, tokenizer, end: int = 0):
-        self.tokenizer, self.end = tokenizer, end
+    def __init__(self, tokenizer, end: int = 0, most_words: int = 300_000):
+        self.tokenizer, self.end, self.most_words, self.most_ids = tokenizer, end, most_words, 7 * most_words
         self.forget()
 
     def forget(self) -> None:
@@ -23,7 +23,7 @@ class KnownWords:
 
     def learn(self, words: list[bytes]) -> np.ndarray:
         """Numbers of different words."""
-        if len(self.known) > self.MOST_WORDS or len(self.flat) > self.MOST_IDS:
+        if len(self.known) > self.most_words or len(self.flat) > self.most_ids:
             self.forget()
         numbers = list(map(self.known.get, words))
         new = [k for k, n in enumerate(numbers) if n is None]

@@ -28,6 +28,7 @@ from strandlake.operators.lookup import lookup
 from strandlake.sources.store import scratch_path
 
 ENCODED = 1 << 19  # bytes of short texts, or ids, that are worked on at once
+KNOWN = 800_000  # words of short texts that a worker remembers, at about 200 bytes each
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
 _CODECS: dict["Coding", "Vocabulary"] = {}  # of this worker
 
@@ -110,7 +111,7 @@ class Codec(Vocabulary):
         self.tokenizer = Tokenizer.from_file(coding.path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = KnownWords(self.tokenizer)
+        self.known = KnownWords(self.tokenizer, most_words=KNOWN)
         self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         added = self.tokenizer.get_added_tokens_decoder()
         if self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
