@@ -28,7 +28,7 @@ from strandlake.operators.lookup import lookup
 from strandlake.sources.store import scratch_path
 
 ENCODED = 1 << 19  # bytes of short texts, or ids, that are worked on at once
-KNOWN = 800_000  # words of short texts that a worker remembers, at about 200 bytes each
+KNOWN = 500_000  # words of short texts that a worker remembers, at about 200 bytes each
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
 _CODECS: dict["Coding", "Vocabulary"] = {}  # of this worker
 
