@@ -7,8 +7,9 @@ a few of its steps; windows that agree with an item on these are candidates. Eve
 item is walked from each of its words on, so that an edit near the start of an item costs nothing. A window is as long as
 the item it is held against. Candidates are verified by the exact word edit distance.
 """
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,16 @@ def _sampled(table: int, leaks: Leaks) -> list[int]:
     return sorted({0, *inner, last})
 
 
-def walk_keys(words: np.ndarray, table: int, leaks: Leaks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk_keys(words: np.ndarray, table: int, leaks: Leaks, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the window that begins at each word: hash of the sampled steps, last word that these touch, number of words sampled.
 
-    The walk stops at the last word.
+    The walk stops at the last word, or at the place ``end`` that is given for each word.
     """
     bits = mix(words ^ np.uint64(0xA5A5A5A5 * (table + 1)))
     at = np.arange(len(words))
     key = np.zeros(len(words), np.uint64)
     places, before = np.zeros(len(words), np.int8), np.full(len(words), -1)
-    sampled, end = set(_sampled(table, leaks)), max(len(words) - 1, 0)
+    sampled, end = set(_sampled(table, leaks)), max(len(words) - 1, 0) if end is None else end
     for j in range(leaks.steps[table]):
         if j in sampled:
             key = (key ^ words[at]) * np.uint64(0x9FB21C651E98DF25)
@@ -67,57 +68,77 @@ def walk_keys(words: np.ndarray, table: int, leaks: Leaks) -> tuple[np.ndarray,
 
 
 class Items:
-    """Items of one block: their words and, per table, the sorted keys of their windows."""
-
-    def __init__(self, rows: list[tuple[int, str]], leaks: Leaks):
-        self.leaks, self.ids = leaks, np.array([i for i, _ in rows], np.int64)
-        texts = pa.array([t for _, t in rows], pa.large_string())
-        parts = [word_hashes(piece) for _, piece in pieces(texts)]
-        self.words = [w[a:b] for w, f in parts for a, b in zip(f[:-1], f[1:])]
-        parts_: dict[int, list] = {}  # of short items: by words of a part, its key, item and place
-        walked: list[list] = [[] for _ in leaks.steps]
-        for n, words in enumerate(self.words):
-            found = False
-            for table in range(len(leaks.steps) if len(words) >= leaks.short_words else 0):
-                keys, last, places = walk_keys(words, table, leaks)
-                inside = np.flatnonzero((last < len(words) - 1) & (places >= leaks.samples))  # a sample of fewer words says too little
-                walked[table] += [(k, n, a) for k, a in zip(keys[inside].tolist(), inside.tolist())]
-                found |= len(inside) > 0
-            if not found:
-                for part in np.array_split(np.arange(len(words)), leaks.edits(len(words)) + 1):  # edits leave one of them as it is
+    """Items of one block: their words and, per table, the sorted keys of their windows. All items are walked at once."""
+
+    def __init__(self, texts: list[str], leaks: Leaks):
+        self.leaks, self.words = leaks, []
+        walked, parts = [[] for _ in leaks.steps], {}  # parts of short items by their number of words
+        for at, piece in pieces(pa.array(texts, pa.large_string())):
+            words, first = word_hashes(piece)
+            self.words += np.split(words, first[1:-1])
+            count = np.diff(first)
+            owner, end = np.repeat(np.arange(len(count)), count), np.repeat(first[1:] - 1, count)
+            found = np.zeros(len(count), bool)
+            for table in range(len(leaks.steps)):
+                keys, last, places = walk_keys(words, table, leaks, end)
+                # a sample of fewer words says too little
+                inside = np.flatnonzero((last < end) & (places >= leaks.samples) & (count[owner] >= leaks.short_words))
+                found[owner[inside]] = True
+                walked[table].append((keys[inside], at + owner[inside], inside - first[owner[inside]]))
+            for n in np.unique(count[~found & (count > 0)]).tolist():
+                same = np.flatnonzero(~found & (count == n))
+                for part in np.array_split(np.arange(n), leaks.edits(n) + 1):  # edits leave one of them as it is
                     if len(part):
-                        parts_.setdefault(len(part), []).append((int(_run_keys(words[part], len(part))[0]), n, int(part[0])))
-        self.tables = []
-        for rows_ in walked:
-            rows_.sort()
-            keys = np.array([k for k, _, _ in rows_], np.uint64)
-            self.tables.append((keys, np.array([n for _, n, _ in rows_], np.int64), np.array([a for _, _, a in rows_], np.int64), _filter(keys)))
-        self.parts = {}
-        for size, rows_ in parts_.items():
-            rows_.sort()
-            keys = np.array([k for k, _, _ in rows_], np.uint64)
-            self.parts[size] = (keys, np.array([n for _, n, _ in rows_], np.int64), np.array([a for _, _, a in rows_], np.int64), _filter(keys))
+                        keys = _hash_columns(words[first[same] + i] for i in part)
+                        parts.setdefault(len(part), []).append((keys, at + same, np.full(len(same), part[0])))
+        self.tables = [_sorted(rows) for rows in walked]
+        self.parts = {size: _sorted(rows) for size, rows in parts.items()}
 
 
-def _run_keys(words: np.ndarray, n: int) -> np.ndarray:
-    key = np.zeros(max(len(words) - n + 1, 0), np.uint64)
-    for j in range(n):
-        key = mix(key ^ words[j:j + len(key)]) + np.uint64(j)
+def _sorted(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple:
+    """Keys in ascending order with their items, the places in these, and the filter of the keys."""
+    keys, owner, anchor = (np.concatenate(x) for x in zip(*rows)) if rows else (np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
+    order = np.lexsort((anchor, owner, keys))
+    keys = keys[order]
+    return keys, owner[order].astype(np.int32), anchor[order].astype(np.int32), _filter(keys)
+
+
+_HELD: dict[str, Items] = {}
+
+
+def held_items(block: str, texts: list[str], leaks: Leaks) -> Items:
+    """The items of a block, built once by each Python worker; the block before it is let go."""
+    if block not in _HELD:
+        _HELD.clear()
+        _HELD[block] = Items(texts, leaks)
+    return _HELD[block]
+
+
+def _hash_columns(columns: Iterable[np.ndarray]) -> np.ndarray:
+    key = np.uint64(0)
+    for j, words in enumerate(columns):
+        key = mix(key ^ words) + np.uint64(j)
     return key
 
 
+def _run_keys(words: np.ndarray, n: int) -> np.ndarray:
+    runs = max(len(words) - n + 1, 0)
+    return _hash_columns(words[j:j + runs] for j in range(n))
+
+
 def _filter(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-    """A bitmap over the top bits of the keys, about one place in 64 set."""
+    """A bitmap over the top bits of the keys, eight places to a byte, about one place in 64 set."""
     bits = max(10, int(np.ceil(np.log2(64 * max(len(keys), 1)))))
     seen = np.zeros(1 << bits, bool)
     shift = np.uint64(64 - bits)
     seen[(keys >> shift).astype(np.int64)] = True
-    return seen, shift
+    return np.packbits(seen, bitorder="little"), shift
 
 
 def _matches(keys: np.ndarray, wanted: np.ndarray, seen: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in ``keys``, place in ``wanted``) with equal keys; ``wanted`` is sorted and may repeat keys."""
-    at = np.flatnonzero(seen[(keys >> shift).astype(np.int64)])
+    place = (keys >> shift).astype(np.int64)
+    at = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
     low, high = (np.searchsorted(wanted, keys[at], side) for side in ("left", "right"))
     n = high - low
     begin = np.cumsum(n) - n
@@ -214,17 +235,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, leaks: Leaks = Leaks()) -> Dat
     One row per document, item and place: ``doc_id, item_id, start_word, end_word`` (exclusive), ``distance`` in words and
     ``item_words``. Items are the query set: the corpus is read once for each block of them, and never shuffled. Null and
     empty texts or items match nothing; a null doc_id or item_id stays null; repeated rows match each; other columns are
-    ignored. Items of fewer than ``short_words`` words are looked up by parts, of which the edits leave one as it is, so that
+    ignored. A text of any length is searched whole, in one task. Items of fewer than ``short_words`` words are looked up by parts, of which the edits leave one as it is, so that
     none of their places is missed.
     """
     spark, out = docs.sparkSession, None
     for block in _blocks(items, leaks):
-        shared = spark.sparkContext.broadcast([block, leaks])
+        shared = spark.sparkContext.broadcast([uuid4().hex, [i for i, _ in block], [t for _, t in block], leaks])
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            rows, leaks = shared.value
-            held = Items([(n, t) for n, (_, t) in enumerate(rows)], leaks)
-            ids = [i for i, _ in rows]
+            name, ids, texts, leaks = shared.value
+            held = held_items(name, texts, leaks)
             for batch in batches:
                 keys, columns = batch.column(0), [[] for _ in range(6)]
                 for base, piece in pieces(batch.column(1)):

@@ -81,17 +81,39 @@ def test_recall_and_exactness_against_brute_force(spark, words):
 def test_exact_items_are_always_found(words):
     from strandlake.llm.edit_leaks import Items, _search
     items = [(k, " ".join(words(n))) for k, n in enumerate(list(range(1, 60)) * 2)]
-    held = Items(items, Leaks())
+    held = Items([t for _, t in items], Leaks())
     for n, text in items:
         w, f = word_hashes(next(pieces(pa.array([" ".join(words(9)) + " " + text + " " + " ".join(words(9))])))[1])
         assert any(x[1] == n and x[4] == 0 for x in _search(w, f, held)), text
 
 
+def test_items_are_walked_together_as_each_alone(words):
+    from strandlake.llm.edit_leaks import Items, walk_keys
+    leaks = Leaks()
+    texts = [" ".join(words(n)) for n in [0, 1, 14, 15, 16, 30, 0, 59, 200] * 3] + ["same " * 40]
+    held = Items(texts, leaks)
+    for table, (keys, owner, anchor, (seen, shift)) in enumerate(held.tables):
+        want = []
+        for n, text in enumerate(texts):
+            own, last, places = walk_keys(hashes(text), table, leaks)
+            want += [(int(own[a]), n, a) for a in range(len(own)) if len(own) >= leaks.short_words and last[a] < len(own) - 1 and places[a] >= leaks.samples]
+        assert list(zip(keys.tolist(), owner.tolist(), anchor.tolist())) == sorted(want)
+        place = (keys >> shift).astype(np.int64)
+        assert ((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1).all()
+
+
+def test_items_are_kept_between_tasks(words):
+    from strandlake.llm.edit_leaks import held_items
+    texts = [" ".join(words(20))]
+    first = held_items("a", texts, Leaks())
+    assert held_items("a", texts, Leaks()) is first and held_items("b", texts, Leaks()) is not first
+
+
 def test_edited_short_items_are_always_found(words):
     from strandlake.llm.edit_leaks import Items, _search
     rng, leaks = random.Random(12), Leaks()
     texts = [words(n) for n in range(5, 15) for _ in range(12)]
-    held = Items([(k, " ".join(t)) for k, t in enumerate(texts)], leaks)
+    held = Items([" ".join(t) for t in texts], leaks)
     for n, text in enumerate(texts):
         edited = list(text)
         for _ in range(leaks.edits(len(text))):
