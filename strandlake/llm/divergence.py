@@ -2,7 +2,8 @@
 
 Two histograms are taken of each text: the classes of its characters, and the common words of its language. The reference
 of a language is the sum of these histograms over all documents in it. A document is rejected where the Jensen-Shannon
-distance of either histogram to the reference is above a limit, and the histogram has enough counts to be trusted.
+distance of either histogram to the reference is above a limit, and the histogram has enough counts to be trusted. The
+limit for common words follows from the reference itself: it is a share of the distance that a text without any of them has.
 Everything is built from SQL functions; texts are read once and never shuffled.
 """
 from dataclasses import dataclass
@@ -32,9 +33,9 @@ class Limits:
     min_words: int = 20  # of a document that is kept
     max_repeat_percent: int = 30  # words in repeated windows
     class_distance: float = 0.35  # Jensen-Shannon distance, 0 to 1
-    word_distance: float = 0.75
+    word_share: float = 0.9  # of the distance between the reference and a text without common words
     min_chars: int = 200  # characters from which the class histogram counts
-    min_common: int = 40  # words from which the word histogram counts
+    min_common: int = 100  # words from which the word histogram counts
 
 
 def _count_in(text: Column, pattern: str) -> Column:
@@ -92,10 +93,15 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """Summed histograms of each language: ``lang, ref_classes, ref_commons``; a row per language that has common words."""
+    """Summed histograms of each language: ``lang, ref_classes, ref_commons`` and ``none_distance``, that of a text without common words.
+
+    Every language has a reference for its characters; the last two are null where no common words are known.
+    """
     total = lambda c, n: F.array(*[F.sum(F.col(c)[k]) for k in range(n)])
-    return (counts.filter(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang")
-            .agg(total("classes", len(CLASSES) + 1).alias("ref_classes"), total("commons", N_WORDS + 1).alias("ref_commons")))
+    listed = F.when(F.col("lang").isin(list(COMMON_WORDS)), total("commons", N_WORDS + 1))
+    sums = counts.filter("lang is not null").groupBy("lang").agg(total("classes", len(CLASSES) + 1).alias("ref_classes"), listed.alias("ref_commons"))
+    none = F.array(*[F.lit(int(k == N_WORDS)).cast("long") for k in range(N_WORDS + 1)])
+    return sums.withColumn("none", none).withColumn("none_distance", js_distance("none", "ref_commons")).drop("none")
 
 
 def js_distance(a: str, b: str) -> Column:
@@ -110,9 +116,9 @@ def js_distance(a: str, b: str) -> Column:
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``doc_id``, the base counts, both distances, ``base_failed`` and ``kept`` for every row of ``docs (doc_id, text, lang, …)``.
 
-    A distance is null where its guard isn't met, the language is null or has no reference, or a histogram is empty; such a
-    document is judged by the base rules alone. A null or empty text has no words and fails these. Repeated rows get the
-    same verdict each, an empty table gives an empty result.
+    A distance is null where its guard isn't met, the language is null or a histogram is empty, and that of common words in a
+    language without a list of them; the other rules judge such a document. A null or empty text has no words and fails the
+    base rules. A text of any length is judged whole. Repeated rows get the same verdict each, an empty table an empty result.
     """
     counts = materialize(text_counts(docs), "divergence")
     pairs = lookup(counts, references(counts), "lang", "doc_id", how="left", measure=True)
@@ -120,7 +126,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))).alias("base_failed"),
         F.when(F.col("n_chars") >= limits.min_chars, js_distance("classes", "ref_classes")).alias("class_distance"),
-        F.when(F.col("n_words") >= limits.min_common, js_distance("commons", "ref_commons")).alias("word_distance"))
+        F.when(F.col("n_words") >= limits.min_common, js_distance("commons", "ref_commons")).alias("word_distance"), "none_distance")
     near = (F.coalesce(F.col("class_distance") <= limits.class_distance, F.lit(True))
-            & F.coalesce(F.col("word_distance") <= limits.word_distance, F.lit(True)))
-    return judged.withColumn("kept", ~F.col("base_failed") & near)
+            & F.coalesce(F.col("word_distance") <= limits.word_share * F.col("none_distance"), F.lit(True)))
+    return judged.withColumn("kept", ~F.col("base_failed") & near).drop("none_distance")

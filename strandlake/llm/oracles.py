@@ -95,9 +95,10 @@ def divergence(documents: str = "documents") -> str:
         commons.append(f"coalesce(len(list_filter(w, lambda x: lower(x) = {word})), 0) AS m{k}")
     sums = ", ".join(f"sum({x}{k}) AS r{x}{k}" for x, n in bins.items() for k in range(n))
 
-    def distance(x: str) -> str:
+    def distance(x: str, none: bool = False) -> str:
         n = bins[x]
         p, q = ([f"({a}{x}{k} / {a}{x}_total)" for k in range(n)] for a in ("", "r"))
+        p = [f"{int(k == n - 1)}.0::DOUBLE" for k in range(n)] if none else p
         part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
         return "sqrt(greatest((" + " + ".join(f"{part(a, b)} + {part(b, a)}" for a, b in zip(p, q)) + ") / 2, 0))"
 
@@ -115,12 +116,12 @@ parts AS (SELECT doc_id, lang, len(w) AS n_words, {count(SPACE).replace('length(
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(t) AS n_chars,
         {count(r'\p{Lu}')} AS c0, {count('[0-9]')} AS c1, {count('[.,;:!?' + "''" + r'"()\-]')} AS c2, {count('[#*$%&|<>]')} AS c3, {count(SPACE)} AS c4, {', '.join(commons)} FROM base),
 full_parts AS (SELECT *, greatest(n_chars - c0 - c1 - c2 - c3 - c4, 0) AS c5, greatest(n_words - {' - '.join(f'm{k}' for k in range(N_WORDS))}, 0) AS m{N_WORDS} FROM parts),
-refs AS (SELECT lang, {sums} FROM full_parts WHERE lang IN ({langs}) GROUP BY lang),
+refs AS (SELECT lang, {sums} FROM full_parts WHERE lang IS NOT NULL GROUP BY lang),
 both_parts AS (SELECT p.*, r.* EXCLUDE (lang), coalesce(s.n, 0) AS n_repeat_words, {totals} FROM full_parts p LEFT JOIN refs r ON p.lang = r.lang LEFT JOIN repeats s ON p.doc_id = s.doc_id),
 judged AS (SELECT *, n_words < {lim.min_words} OR 100 * n_repeat_words > {lim.max_repeat_percent} * n_words AS base_failed,
-        CASE WHEN n_chars >= {lim.min_chars} THEN {distance('c')} END AS class_distance, CASE WHEN n_words >= {lim.min_common} THEN {distance('m')} END AS word_distance FROM both_parts)
+        CASE WHEN n_chars >= {lim.min_chars} THEN {distance('c')} END AS class_distance, CASE WHEN n_words >= {lim.min_common} AND lang IN ({langs}) THEN {distance('m')} END AS word_distance, {distance('m', True)} AS none_distance FROM both_parts)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-    n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(class_distance <= {lim.class_distance}, true) AND coalesce(word_distance <= {lim.word_distance}, true) AS kept
+    n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(class_distance <= {lim.class_distance}, true) AND coalesce(word_distance <= {lim.word_share} * none_distance, true) AS kept
 FROM judged"""
 
 
