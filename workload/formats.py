@@ -136,11 +136,13 @@ def vcf_sites(spark, sf):
         F.concat_ws(":", *[cell(1, k) for k in ("GT", "AD", "DP", "GQ", "PL")]).alias("cell2"))
 
 
-@query("vcf_header_fields", t.duck(
-    "select * from (values " + ", ".join(
-        "(" + ", ".join("null" if v is None else f"'{v}'" for v in (k, i, "R" if i == "AD" else n, ty, d)) + ", null)"
-        for k, i, n, ty, d in HEADER) + ") v(kind, id, number, type, description, length)"
-    " union all select 'contig', contig, null, null, null, count(*) * 32 from chunks group by contig"))
+HEADER_SQL = ("select * from (values " + ", ".join(
+    "(" + ", ".join("null" if v is None else f"'{v}'" for v in (k, i, "R" if i == "AD" else n, ty, d)) + ", null)"
+    for k, i, n, ty, d in HEADER) + ") v(kind, id, number, type, description, length)"
+    " union all select 'contig', contig, null, null, null, count(*) * 32 from chunks group by contig")
+
+
+@query("vcf_header_fields", t.duck(HEADER_SQL))
 def vcf_header_fields(spark, sf):
     _, header = vcf.read_vcf(spark, written_vcf(spark, sf))
     return header.drop("ord")

@@ -7,7 +7,7 @@ from strandlake.plans import germline as plans
 from strandlake.sources import fastq, store, vcf
 from workload import sql as s
 from workload import tables as t
-from workload.formats import DATED, LEDGER, write_fasta
+from workload.formats import DATED, HEADER_SQL, LEDGER, write_fasta
 from workload.registry import query
 
 
@@ -287,12 +287,21 @@ def run_collection(spark, sf):
 
 # --- pipes -----------------------------------------------------------------------------------------------------------
 
+UNPLACED = r"""awk 'NR % 4 == 1 { n = substr($1, 2); sub(/\/[12]$/, "", n) } NR % 4 == 2 { b = $0 }
+      NR % 4 == 0 { printf "%s\t4\t*\t0\t0\t*\t*\t0\t0\t%s\t%s\n", n, b, $0 }'"""
+
+
 @query("piped_reads", t.duck("select frag, 4 as flags, bases, quals from reads"))
 def piped_reads(spark, sf):
     """Fragments through a command that turns every FASTQ record into an unplaced SAM record."""
-    command = r"""awk 'NR % 4 == 1 { n = substr($1, 2); sub(/\/[12]$/, "", n) } NR % 4 == 2 { b = $0 }
-      NR % 4 == 0 { printf "%s\t4\t*\t0\t0\t*\t*\t0\t0\t%s\t%s\n", n, b, $0 }'"""
-    return pipe.pipe_reads(fragments.to_fragments(t.reads(spark, sf)), command).select("frag", "flags", "bases", "quals")
+    return pipe.pipe_reads(fragments.to_fragments(t.reads(spark, sf)), UNPLACED).select("frag", "flags", "bases", "quals")
+
+
+@query("piped_read_groups", t.duck("select sample, concat('g ', sample) as rg_id, 'l|' as library, frag, bases from reads"))
+def piped_read_groups(spark, sf):
+    """Sample, read group and library of reads after they went through a command."""
+    reads = t.reads(spark, sf).withColumn("rg_id", F.concat(F.lit("g "), "sample")).withColumn("library", F.lit("l|"))
+    return pipe.pipe_reads(reads, UNPLACED).select("sample", "rg_id", "library", "frag", "bases")
 
 
 @query("piped_variants", t.duck("select contig, pos, ref, alt as alts, filter as filters, info from variants where filter = 'PASS'"))
@@ -305,6 +314,27 @@ def piped_variants(spark, sf):
                       format_info(F.col("info")).alias("info"))
 
 
+NOTED = r"""awk -F '\t' -v OFS='\t' '/^#CHROM/ { print "##INFO=<ID=CSQ,Number=.,Type=String,Description=\"Consequences\">" }
+  /^#/ { print; next } { $8 = ($8 == "." ? "" : $8 ";") "CSQ=" $4 ">" $5; print }'"""
+
+
+@query("piped_header", t.duck(HEADER_SQL + " union all select 'INFO', 'CSQ', '.', 'String', 'Consequences', null"))
+def piped_header(spark, sf):
+    """The header after a command that declares a field of its own."""
+    from workload.formats import vcf_header
+    return pipe.pipe_variants_and_header(t.variants(spark, sf), NOTED, vcf_header(spark, sf), t.SAMPLES)[1].drop("ord")
+
+
+@query("piped_notes", t.duck("select contig, pos, ref, alt as alts, concat(ref, '>', alt) as note, g1 from variants"))
+def piped_notes(spark, sf):
+    """The field that a command adds to every site, and the first sample's genotype behind it."""
+    from workload.formats import vcf_header
+    out = pipe.pipe_variants_and_header(t.variants(spark, sf), NOTED, vcf_header(spark, sf), t.SAMPLES)[0]
+    first = F.col("genotypes")[0]["fields"]
+    return out.select("contig", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.element_at("info", "CSQ").alias("note"),
+                      F.concat_ws(":", *[F.element_at(first, k) for k in ("GT", "AD", "DP", "GQ", "PL")]).alias("g1"))
+
+
 # --- whole runs ------------------------------------------------------------------------------------------------------
 
 FINISHED = s.marked() + "," + s.cells("marked") + "," + s.covariates() + "," + s.recalibrated("marked")
