@@ -11,16 +11,19 @@ it holds. Draws are repeated until a pair within the threshold shares a cell in
 * regions are joined recursively; where pivots no longer separate, a document is held against what is left, and those
   within e of it leave with it after they were compared with the window up to 2 e.
 
-A region too large for a task is first cut by finer draws (more pivots to a cell). What stays large is one mass of
-near copies: it is dealt into blocks, every block gets the same few documents as pivots, and documents that link to none
-of these are replicated to all blocks. Exact copies are one node throughout.
+A region too large for a task, by its number of sets or their bytes, is first cut by finer draws (more pivots to a cell). What
+stays large is dealt into blocks, every block gets the same few documents as pivots, and what the main pivot holds is one
+component. If few documents are left over, as in a mass of near copies, they are replicated to all blocks. If many are, as
+in pages of one template that have less in common than a link takes, the region is cut again by the rarest shingles of each
+document: two sets that link share one of them for certain. What even they don't part is joined for each pair of blocks,
+so a task never holds more than two blocks. Exact copies are one node throughout.
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
@@ -39,6 +42,7 @@ class Regions:
     fine_pivots: int = 8
     fine_draws: int = 140
     task_nodes: int = 2_000  # nodes of a region that one task joins
+    task_bytes: int = 64 << 20  # of their sets
     small: int = 32  # nodes that are compared without pivots
 
     def missed(self, fine: bool = False) -> float:
@@ -46,6 +50,10 @@ class Regions:
         pivots, draws = (self.fine_pivots, self.fine_draws) if fine else (self.pivots, self.draws)
         return (1 - (self.percent / 100) ** pivots) ** draws
 
+    def blocks(self) -> Column:
+        """Tasks that a group of ``n`` nodes with ``bytes`` of sets is dealt over."""
+        return F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / self.task_nodes), F.ceil(F.col("bytes") / self.task_bytes)))
+
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and where each text's begin."""
@@ -239,8 +247,14 @@ def _regions(cells: DataFrame) -> DataFrame:
     return components(links).withColumnRenamed("root", "region")
 
 
-def _large_regions(members: DataFrame, regions: Regions) -> DataFrame:
-    """Links within regions of ``members (node, region, hashes)`` that no task can hold, by finer cells and then in blocks."""
+def _measured(members: DataFrame, regions: Regions) -> DataFrame:
+    """``(region, n, bytes, blocks)`` of ``members (node, region, hashes)``."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes"))
+    return sizes.withColumn("blocks", regions.blocks())
+
+
+def _fine_cells(members: DataFrame, regions: Regions) -> DataFrame:
+    """``(node, cells)`` with cells of more pivots than those of the first level."""
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
@@ -248,31 +262,97 @@ def _large_regions(members: DataFrame, regions: Regions) -> DataFrame:
             cells = cells_of(np.concatenate(sets) if sets else np.empty(0, np.uint64), first, regions.fine_pivots, regions.fine_draws, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(cells), pa.list_(pa.int64()))], ["node", "cells"])
 
-    cells = materialize(members.select("node", "hashes").mapInArrow(fine, "node long, cells array<long>"), "fine-cells")
-    found = members.drop("region").join(materialize(_regions(cells), "fine-regions"), "node")
-    sizes = materialize(found.groupBy("region").agg(F.count("*").alias("n")), "fine-sizes")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / 8)) == 0)  # about eight to a region
-    own = (found.join(sizes, "region").withColumn("blocks", F.ceil(F.col("n") / regions.task_nodes)).withColumn("at", block)
-           .withColumn("group", F.xxhash64("region", "at")).withColumn("part", F.when(pivot, 0).otherwise(1)))
-    many = own.filter("blocks > 1")
-    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("at")))
+    return members.select("node", "hashes").mapInArrow(fine, "node long, cells array<long>")
+
 
-    def spread(rows: DataFrame, part: int) -> DataFrame:
-        return rows.withColumn("to", others).select(F.xxhash64("region", "to").alias("group"), "node", F.lit(part).alias("part"), "hashes")
+def rare_cells(members: DataFrame, regions: Regions) -> DataFrame:
+    """``(node, cells)``: of each set, the rarest shingles of its region that it can't do without in a link.
 
+    A link takes ``least = ceil(percent n / 100)`` common shingles, so of any ``n - least + 1`` shingles of a set the other set
+    holds one. With one order for all, from rare to frequent, both sets have such a shingle among their first ones. Shingles
+    that no other set of the region holds are no cells.
+    """
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # a set at a time
+                held = np.frombuffer(batch.column(2)[at].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch.column(0)[at], len(held)), pa.repeat(batch.column(1)[at], len(held)), pa.array(held)], ["node", "region", "shingle"])
+
+    rows = members.select("node", "region", "hashes").mapInArrow(listed, "node long, region long, shingle long")
+    shared = materialize(rows.groupBy("region", "shingle").agg(F.count("*").alias("held")).filter("held > 1"), "shared-shingles")
+    n = members.select("node", F.expr("length(hashes) div 8").alias("n"))
+    least = F.floor((F.col("n") * regions.percent + 99) / 100)
+    wanted = F.col("n") - least + 1 - (F.col("n") - F.col("known"))  # shingles of this set alone come first
+    known = rows.join(shared, ["region", "shingle"])
+    ranked = known.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))).withColumn(
+        "known", F.count("*").over(Window.partitionBy("node")))
+    first = ranked.join(n, "node").filter(F.col("place") <= wanted)
+    return first.groupBy("node").agg(F.collect_list(F.xxhash64("region", "shingle")).alias("cells"))
+
+
+def _in_blocks(members: DataFrame, regions: Regions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links within blocks of each region and with its pivots; all nodes of regions with more than one block, and those of them
+    that the region's main pivot doesn't hold.
+
+    Documents that one pivot holds are in one component. All others still have to meet each document outside of their block.
+    """
+    sizes = materialize(_measured(members, regions), "block-sizes")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / 8)) == 0)  # about eight to a region
+    own = (members.join(sizes, "region").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+           .withColumn("group", F.xxhash64("region", "at")).withColumn("part", F.when(pivot, 0).otherwise(1)))
+    many = materialize(own.filter("blocks > 1"), "block-members")
     columns = ["group", "node", "part", "hashes"]
-    first = _in_groups(own.select(*columns).unionByName(spread(many.filter("part = 0"), 0)), regions)
+    first = _in_groups(own.filter("blocks = 1").select(*columns).unionByName(many.select(*columns)).unionByName(_to_blocks(many.filter("part = 0"), 0)), regions)
     first = materialize(first, "block-links")
-    # documents that a pivot holds are in one component; others must meet each document outside of their block, too. The
-    # pivot that holds most is taken, and what it doesn't hold is replicated.
     places = many.select("region", "group", F.col("node").alias("a"))
     pivots = first.join(many.filter("part = 0").select("region", F.col("node").alias("a")).distinct(), "a").select("region", "group", F.col("a").alias("pivot"), "b")
     held = materialize(first.join(places, ["group", "a"]).join(pivots.drop("region"), ["group", "b"]).select("region", "a", "pivot"), "block-held")
     main = held.groupBy("region", "pivot").count().groupBy("region").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("main"))
     kept = lookup(held, main, "region", "a").filter("pivot = main").select(F.col("a").alias("node"))
-    second = _in_groups(many.select(*columns).unionByName(spread(many.join(kept, "node", "left_anti"), 2)), regions)
-    return first.select("a", "b").unionByName(second.select("a", "b"))
+    return first.select("a", "b"), many, materialize(many.join(kept, "node", "left_anti"), "block-loose")
+
+
+def _to_blocks(rows: DataFrame, part: int) -> DataFrame:
+    """A copy of each row for every other block of its region."""
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("at")))
+    return rows.withColumn("to", others).select(F.xxhash64("region", "to").alias("group"), "node", F.lit(part).alias("part"), "hashes")
+
+
+def _by_pairs(many: DataFrame, loose: DataFrame, regions: Regions) -> DataFrame:
+    """Links of ``loose`` nodes with nodes of other blocks, for each pair of blocks that holds a loose one."""
+    low, high = F.least("at", "to"), F.greatest("at", "to")
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("at")))
+
+    def met(rows: DataFrame, part: int) -> DataFrame:
+        return rows.withColumn("to", others).select(F.xxhash64("region", low, high).alias("group"), "node", F.lit(part).alias("part"), "hashes")
+
+    asked = met(loose, 1)
+    rest = met(many.join(loose.select("node"), "node", "left_anti"), 2).join(asked.select("group").distinct(), "group", "left_semi")
+    return _in_groups(asked.unionByName(rest), regions).select("a", "b")
+
+
+def _large_regions(members: DataFrame, regions: Regions) -> DataFrame:
+    """Links within regions of ``members (node, region, hashes)`` that no task can hold.
+
+    The steps: finer cells; blocks; cells of rare shingles where a block leaves many documents open; pairs of blocks.
+    """
+    found = members.drop("region").join(materialize(_regions(materialize(_fine_cells(members, regions), "fine-cells")), "fine-regions"), "node")
+    links, many, loose = _in_blocks(found, regions)
+    if loose.isEmpty():
+        return links
+    dense = materialize(_measured(loose, regions).filter("blocks > 1").select("region"), "dense-regions")
+    few = loose.join(dense, "region", "left_anti")  # at most a block of them, so a task holds two
+    reached = many.join(few.select("region").distinct(), "region", "left_semi")
+    columns = ["group", "node", "part", "hashes"]
+    links = links.unionByName(_in_groups(reached.select(*columns).unionByName(_to_blocks(few, 2)), regions).select("a", "b"))
+    if dense.isEmpty():
+        return links
+    crowd = materialize(many.join(dense, "region", "left_semi").select("node", "region", "hashes"), "crowd")
+    cut = materialize(_regions(materialize(rare_cells(crowd, regions), "rare-cells")), "rare-regions")
+    again, many, loose = _in_blocks(crowd.drop("region").join(cut, "node"), regions)
+    links = links.unionByName(again)
+    return links if loose.isEmpty() else links.unionByName(_by_pairs(many, loose, regions))
 
 
 def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
@@ -281,7 +361,8 @@ def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
     Two documents link when their sets of shingles have a Jaccard similarity of the threshold or more; ``component_id`` is the
     smallest doc_id reachable by links. A null or blank text has an empty set and links with nothing; a text with fewer words
     than a shingle is one shingle. Repeated rows come back once each; a null doc_id is only taken as component_id if no other
-    is reachable. Other columns are ignored.
+    is reachable. Other columns are ignored. A very long text is one set: its shingles are held at once where it is compared, and
+    few such sets share a task, as tasks are bounded by the bytes of their sets, too.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), F.col("text").cast("string"))
     sketch = texts.mapInArrow(_sketch(regions), "doc_id long, key long, node long, n_shingles long, cells array<long>")
@@ -292,8 +373,7 @@ def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
     chosen = texts.join(F.broadcast(named) if small_enough(named) else named, "key").select("node", "region", "text")
     members = chosen.mapInArrow(_members(regions), "node long, region long, hashes binary").dropDuplicates(["node"])
     members = materialize(members, "members")
-    sizes = members.groupBy("region").agg(F.count("*").alias("n"))
-    large = materialize(sizes.filter(F.col("n") > regions.task_nodes).select("region"), "large")
+    large = materialize(_measured(members, regions).filter("blocks > 1").select("region"), "large")
     tasks = members if large.isEmpty() else members.join(large, "region", "left_anti")
     links = _in_groups(tasks.select(F.col("region").alias("group"), "node", F.lit(1).alias("part"), "hashes"), regions)
     root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from strandlake.llm import jaccard_regions
 from strandlake.llm.components import components
 from strandlake.llm.jaccard_regions import Region, Regions, cells_of, link_documents
 
@@ -30,7 +31,7 @@ def brute(rows):
     low = {}
     for i, (d, _) in enumerate(rows):
         low.setdefault(find(i), []).append(d)
-    return sorted((d, len(sets[i]), min((x for x in low[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows) if d is not None)
+    return sorted(((d, len(sets[i]), min((x for x in low[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def corpus(words, n=60, copies=9, edits=6):
@@ -48,11 +49,12 @@ def corpus(words, n=60, copies=9, edits=6):
 
 def run(spark, rows, regions=Regions()):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
-    return sorted(tuple(r) for r in link_documents(df, regions).collect() if r["doc_id"] is not None)
+    return sorted((tuple(r) for r in link_documents(df, regions).collect()), key=str)
 
 
 def test_components_equal_brute_force(spark, words):
-    rows = corpus(words) + [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one two"), (9005, "ONE  two"), (9006, "one"), (None, "one two")]
+    rows = corpus(words) + [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one two"), (9005, "ONE  two"), (9006, "one"), (None, "one two"),
+                            (None, "alone with no number"), (None, None)]
     assert run(spark, rows) == brute(rows)
 
 
@@ -72,6 +74,48 @@ def test_large_region_in_blocks(spark, words):
     assert run(spark, rows, Regions(task_nodes=16, small=8)) == brute(rows)
 
 
+def counted(monkeypatch, name):
+    """Number of calls of a step, which still does its work."""
+    calls, step = [], getattr(jaccard_regions, name)
+    monkeypatch.setattr(jaccard_regions, name, lambda *a: calls.append(1) or step(*a))
+    return calls
+
+
+def test_template_with_parts_from_a_pool(spark, words, monkeypatch):
+    """Pages of one template, with parts of a pool that many hold: neither pivots nor rare shingles part them, pairs of blocks do."""
+    rng, rows, calls = random.Random(7), [], counted(monkeypatch, "_by_pairs")
+    template, pool = words(60), [words(20) for _ in range(12)]
+    for k in range(150):
+        text = template + [w for part in rng.sample(pool, 4) for w in part] + words(rng.choice([0, 3, 12]))
+        rows.append((k, " ".join(text)))
+        if k % 6 == 0:
+            text[rng.randrange(len(text))] = words(1)[0]
+            rows.append((1000 + k, " ".join(text)))
+    assert run(spark, rows, Regions(task_nodes=16, small=8)) == brute(rows)
+    assert calls
+
+
+def test_thousands_of_pages_of_one_template(spark, monkeypatch):
+    """3,000 texts at a similarity of about 0.45, a tenth with a near copy: only the copies link, in regions above the real size of a task."""
+    rng, calls = random.Random(11), counted(monkeypatch, "rare_cells")
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    template, rows, want = [word() for _ in range(70)], [], {}
+    for k in range(3000):
+        text = template + [word() for _ in range(42)]
+        rows.append((k, " ".join(text)))
+        want[k] = k
+        if k % 10 == 0:
+            rows.append((10_000 + k, " ".join([*text[:-1], word()])))
+            want[10_000 + k] = k
+    assert {d: c for d, _, c in run(spark, rows)} == want
+    assert calls
+
+
+def test_sets_of_a_task_are_bounded_by_bytes(spark, words):
+    rows = corpus(words, n=25)
+    assert run(spark, rows, Regions(task_bytes=2_000, small=8)) == brute(rows)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (5, "g h"), (4, "A b c d e f")]) == [(4, 2, 4), (5, 1, 5), (5, 2, 4), (5, 2, 4)]
