@@ -12,11 +12,11 @@ it holds. Draws are repeated until a pair within the threshold shares a cell in
   within e of it leave with it after they were compared with the window up to 2 e.
 
 A region too large for a task, by its number of sets or their bytes, is first cut by finer draws (more pivots to a cell). What
-stays large is dealt into blocks, every block gets the same few documents as pivots, and what the main pivot holds is one
-component. If few documents are left over, as in a mass of near copies, they are replicated to all blocks. If many are, as
-in pages of one template that have less in common than a link takes, the region is cut again by the rarest shingles of each
-document: two sets that link share one of them for certain. What even they don't part is joined for each pair of blocks,
-so a task never holds more than two blocks. Exact copies are one node throughout.
+stays large, as pages of one template that have less in common than a link takes, is cut again by the rarest shingles of each
+document: two sets that link share one of them for certain. What even they don't part is dealt into blocks, every block gets
+the same few documents as pivots, and what the main pivot holds is one component. If few documents are left over, as in a
+mass of near copies, they are replicated to all blocks. If many are, each pair of blocks is joined, so a task never holds
+more than two blocks. Exact copies are one node throughout.
 """
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -119,9 +119,10 @@ class Region:
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.n = percent, np.array([len(s) for s in sets], np.int64)
-        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        self.codes, self.width = codes.astype(np.int32), int(codes.max()) + 1
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        _, codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[codes] > 1  # what one set alone holds is in no intersection
+        self.codes, self.width = codes[shared].astype(np.int32), len(times)
+        self.first = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(self.n)])]
         self.root = np.arange(len(sets))
         self.epsilon = 1 - percent / 100
 
@@ -136,17 +137,20 @@ class Region:
         self.root[max(a, b)] = min(a, b)
 
     def common(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of x with each of ``others``."""
+        """Sizes of the intersections of x with each other set of ``others``."""
         held = np.zeros(self.width, bool)
         held[self.codes[self.first[x]:self.first[x + 1]]] = True
-        n = self.n[others]
+        first, n = self.first[others], self.first[others + 1] - self.first[others]
+        if 2 * len(others) >= len(self.n):  # nearly all: in one sweep over what is held
+            seen = np.concatenate([[0], np.cumsum(held[self.codes])])
+            return seen[first + n] - seen[first]
         begin = np.cumsum(n) - n
-        at = np.repeat(self.first[others] - begin, n) + np.arange(n.sum())
-        return np.add.reduceat(held[self.codes[at]], begin, dtype=np.int64)
+        seen = np.concatenate([[0], np.cumsum(held[self.codes[np.repeat(first - begin, n) + np.arange(n.sum())]])])
+        return seen[begin + n] - seen[begin]
 
     def distance(self, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Jaccard distances, and which are within the threshold (in whole numbers)."""
-        both = self.common(x, others)
+        both = np.where(others == x, self.n[x], self.common(x, others))
         union = self.n[x] + self.n[others] - both
         return 1 - both / union, 100 * both >= self.percent * union
 
@@ -280,7 +284,7 @@ def rare_cells(members: DataFrame, regions: Regions) -> DataFrame:
                     [pa.repeat(batch.column(0)[at], len(held)), pa.repeat(batch.column(1)[at], len(held)), pa.array(held)], ["node", "region", "shingle"])
 
     rows = members.select("node", "region", "hashes").mapInArrow(listed, "node long, region long, shingle long")
-    shared = materialize(rows.groupBy("region", "shingle").agg(F.count("*").alias("held")).filter("held > 1"), "shared-shingles")
+    shared = rows.groupBy("region", "shingle").agg(F.count("*").alias("held")).filter("held > 1")
     n = members.select("node", F.expr("length(hashes) div 8").alias("n"))
     least = F.floor((F.col("n") * regions.percent + 99) / 100)
     wanted = F.col("n") - least + 1 - (F.col("n") - F.col("known"))  # shingles of this set alone come first
@@ -335,9 +339,15 @@ def _by_pairs(many: DataFrame, loose: DataFrame, regions: Regions) -> DataFrame:
 def _large_regions(members: DataFrame, regions: Regions) -> DataFrame:
     """Links within regions of ``members (node, region, hashes)`` that no task can hold.
 
-    The steps: finer cells; blocks; cells of rare shingles where a block leaves many documents open; pairs of blocks.
+    The steps: finer cells; for what is still too large, cells of rare shingles; blocks; loose documents to all blocks or by pairs of blocks.
     """
     found = members.drop("region").join(materialize(_regions(materialize(_fine_cells(members, regions), "fine-cells")), "fine-regions"), "node")
+    crowded = materialize(_measured(found, regions).filter("blocks > 1").select("region"), "crowded-regions")
+    if not crowded.isEmpty():
+        crowd = materialize(found.join(crowded, "region", "left_semi").select("node", "region", "hashes"), "crowd")
+        cut = materialize(_regions(materialize(rare_cells(crowd, regions), "rare-cells")), "rare-regions")
+        found = found.select("node", "region", "hashes").join(crowded, "region", "left_anti").unionByName(
+            crowd.drop("region").join(cut, "node").select("node", "region", "hashes"))
     links, many, loose = _in_blocks(found, regions)
     if loose.isEmpty():
         return links
@@ -346,13 +356,7 @@ def _large_regions(members: DataFrame, regions: Regions) -> DataFrame:
     reached = many.join(few.select("region").distinct(), "region", "left_semi")
     columns = ["group", "node", "part", "hashes"]
     links = links.unionByName(_in_groups(reached.select(*columns).unionByName(_to_blocks(few, 2)), regions).select("a", "b"))
-    if dense.isEmpty():
-        return links
-    crowd = materialize(many.join(dense, "region", "left_semi").select("node", "region", "hashes"), "crowd")
-    cut = materialize(_regions(materialize(rare_cells(crowd, regions), "rare-cells")), "rare-regions")
-    again, many, loose = _in_blocks(crowd.drop("region").join(cut, "node"), regions)
-    links = links.unionByName(again)
-    return links if loose.isEmpty() else links.unionByName(_by_pairs(many, loose, regions))
+    return links if dense.isEmpty() else links.unionByName(_by_pairs(many.join(dense, "region", "left_semi"), loose.join(dense, "region", "left_semi"), regions))
 
 
 def link_documents(docs: DataFrame, regions: Regions = Regions()) -> DataFrame:
