@@ -1,0 +1,50 @@
+"""Counting and rewriting a batch of reads at once gives what the steps base by base give."""
+import random
+
+from pyspark.sql import functions as F
+
+from strandlake.operators import recalibration as r
+from strandlake.sources.fasta import tiles_from_pieces
+
+ROWS = ("rg_id string, frag string, flags int, contig string, pos long, `end` long, cigar string, bases string, quals string")
+
+
+def _rows(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGTN") for _ in range(9000))
+    rows = []
+    for i in range(400):
+        at = rng.randrange(0, 8900)
+        cigar, bases = rng.choice([("30M", text[at:at + 30]), ("5S10M2D15M", "TTTTT" + text[at:at + 10] + text[at + 12:at + 27]), ("10M3I17M", text[at:at + 10] + "GAT" + text[at + 10:at + 27])])
+        span = {"30M": 30, "5S10M2D15M": 27, "10M3I17M": 27}[cigar]
+        bases = "".join(rng.choice("ACGTNacé") if rng.random() < 0.1 and i % 5 == 0 else b for b in bases)
+        quals = "".join(chr(33 + rng.randrange(2, 41)) for _ in bases)
+        quals = {11: "", 12: "*", 13: quals[:9], 14: None}.get(i, quals)
+        rows.append((rng.choice(["a", "b", None]), f"f{i}", rng.choice([0, 16, 99, 147, 4, 1024]), "c", at + 1, at + span, cigar, bases, quals))
+    rows += rows[:30] + [(None,) * 9, ("a", "z", 0, "c", 1, 3, "3M", "", "")]
+    tiles = tiles_from_pieces(spark.createDataFrame([("c", 0, text)], "contig string, offset long, bases string"))
+    return spark.createDataFrame(rows, ROWS), tiles, spark.createDataFrame([("c", p) for p in range(5, 9000, 97)], "contig string, pos long")
+
+
+def _same(a, b):
+    return a.count() == b.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_covariates_are_counted_over_batches(spark, monkeypatch):
+    rows, tiles, snps = _rows(spark)
+    for known in (snps, None):
+        found = r.bqsr_table(rows, tiles, known)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        one = r.covariates(rows, tiles, known).groupBy("rg_id", "q", "cycle").agg(F.count(F.lit(1)).alias("n"), F.count_if("mismatch").alias("m"))
+        assert _same(found.groupBy("rg_id", "q", "cycle").agg(F.sum("observations").alias("n"), F.sum("mismatches").alias("m")), one)
+        pairs = r.covariates(rows, tiles, known).groupBy("rg_id", "q", "cycle", "pair").count().groupBy("rg_id", F.col("count").alias("n")).count()
+        assert _same(found.groupBy("rg_id", F.col("observations").alias("n")).count(), pairs)
+
+
+def test_qualities_are_rewritten_over_batches(spark):
+    rows, tiles, snps = _rows(spark)
+    table = r.materialize(r.bqsr_table(rows, tiles, snps).filter("rg_id = 'a' and q is not null"), "covariates")
+    arrays = r.materialize(r.lookup_arrays(table), "arrays")
+    found = r.apply_bqsr(rows, table)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    assert _same(found, r._apply_joined(rows, rows.join(F.broadcast(arrays), "rg_id", "left")))
