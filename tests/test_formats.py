@@ -1,3 +1,7 @@
+import glob
+import gzip
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +165,29 @@ def test_files_are_ingested_once(spark, tmp_path):
     for _ in range(2):
         rows = ingest_incremental(*args).collect()
         assert sorted((r["frag"], r["mate"]) for r in rows) == [("a", 0), ("b", 1), ("b", 2)]
+
+
+def test_shuffles_of_a_stored_table_are_removed(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for d in env.localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+    before, setting = held(), spark.conf.get(store.SHUFFLE_CLEANUP)
+    rows = store.materialize(spark.range(1000).repartition(3, "id"), "cleaned")
+    for _ in range(100):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and rows.count() == 1000 and spark.conf.get(store.SHUFFLE_CLEANUP) == setting
+
+
+def test_compressed_sam_reads_like_plain_text(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "g", "l", f"f{i}", 0, "one", 50 - i, 53 - i, 60, "4M", None, None, 0, "ACGT", "IIII", {"RG": "Z:g"}) for i in range(30)],
+                                 "sample string, rg_id string, library string, frag string, flags int, contig string, pos long, end long, mapq int, cigar string, "
+                                 "mate_contig string, mate_pos long, tlen long, bases string, quals string, tags map<string,string>")
+    contigs = spark.createDataFrame([("one", 100, 0, None)], "contig string, length long, idx int, md5 string")
+    lines = {}
+    for kind in (None, "gzip"):
+        path = str(tmp_path / f"out-{kind}")
+        sam.write_sam(rows, contigs, path, compression=kind)
+        lines[kind] = [line for p in sorted(glob.glob(f"{path}/part-*")) for line in (gzip.open if kind else open)(p, "rt")]
+        assert sorted(r["frag"] for r in sam.read_sam(spark, path).filter("sample = 's'").collect()) == sorted(f"f{i}" for i in range(30))
+    assert lines[None] == lines["gzip"] and len(lines["gzip"]) == 33
