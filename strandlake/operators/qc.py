@@ -56,8 +56,16 @@ def qc_gc_distribution(reads: DataFrame) -> DataFrame:
 
 
 def qc_n_content(reads: DataFrame) -> DataFrame:
-    return _cycles(reads).groupBy("cycle").agg(
-        F.round(100.0 * F.count_if(F.col("base") == "N") / F.count(F.lit(1)), 6).alias("n_percent"))
+    """Percent of N by cycle. Reads are counted per length and only their Ns are taken out one by one: a cycle has as many bases
+    as there are reads of its length or longer, which is a running sum over at most one row per cycle."""
+    sizes = reads.filter(F.length("bases") > 0).groupBy(F.length("bases").alias("cycle")).agg(F.count(F.lit(1)).alias("reads"))
+    at = F.filter(F.sequence(F.lit(1), F.length("bases")), lambda i: F.substring("bases", i, F.lit(1)) == "N")
+    unread = reads.filter(F.contains("bases", F.lit("N"))).select(F.explode(at).alias("cycle")).groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+    cycles = sizes.agg(F.max("cycle").alias("longest")).filter("longest > 0").select(F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("cycle"))
+    longer = Window.orderBy(F.desc("cycle")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = cycles.join(sizes, "cycle", "left").withColumn("bases", F.sum(F.coalesce("reads", F.lit(0))).over(longer))
+    return counted.join(unread, "cycle", "left").select(
+        "cycle", F.round(100.0 * F.coalesce("n", F.lit(0)) / F.col("bases"), 6).alias("n_percent"))
 
 
 def qc_length_distribution(reads: DataFrame) -> DataFrame:

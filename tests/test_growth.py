@@ -49,3 +49,16 @@ def test_marking_reads_few_columns(spark):
     kept = ["frag", "flags", "pos"]
     assert sorted(map(str, marked.select(kept).collect())) == sorted(map(str, duplicates.mark_duplicates(whole).select(kept).collect()))
     assert sorted(r["frag"] for r in marked.collect() if r["flags"] & 1024) == ["b", "b", "e", "e", "g"]
+
+
+def test_n_content_takes_out_only_the_reads_that_hold_n(spark):
+    texts, df = random_reads(spark)
+    result = qc.qc_n_content(df)
+    want = {}
+    for i in range(max(len(t) for t in texts if t)):
+        column = [t[i] for t in texts if t and len(t) > i]
+        want[i + 1] = round(100.0 * column.count("N") / len(column), 6)
+    assert {r["cycle"]: r["n_percent"] for r in result.collect()} == want
+    assert result.dtypes == [("cycle", "int"), ("n_percent", "double")]
+    assert qc.qc_n_content(df.filter("length(bases) = 0 or bases is null")).count() == 0
+    assert "Contains(bases" in plan(result)
