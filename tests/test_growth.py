@@ -62,3 +62,14 @@ def test_n_content_takes_out_only_the_reads_that_hold_n(spark):
     assert result.dtypes == [("cycle", "int"), ("n_percent", "double")]
     assert qc.qc_n_content(df.filter("length(bases) = 0 or bases is null")).count() == 0
     assert "Contains(bases" in plan(result)
+
+
+def test_gc_counts_without_translate(spark):
+    texts, df = random_reads(spark)
+    result, want = qc.qc_gc_distribution(df), {}
+    for t in texts:
+        called = None if t is None else sum(c != "N" for c in t)
+        percent = 0 if not called else int(100 * sum(c not in "ATN" for c in t) / called)
+        want[percent] = want.get(percent, 0) + 1
+    assert {r["gc_percent"]: r["reads"] for r in result.collect()} == want
+    assert "translate(" not in plan(result) and "translate(" not in plan(qc.qc_basic_stats(df))
