@@ -73,3 +73,12 @@ def test_gc_counts_without_translate(spark):
         want[percent] = want.get(percent, 0) + 1
     assert {r["gc_percent"]: r["reads"] for r in result.collect()} == want
     assert "translate(" not in plan(result) and "translate(" not in plan(qc.qc_basic_stats(df))
+
+
+def test_lines_go_through_a_command_in_batches(spark):
+    texts = [f"line {i} ä" for i in range(500)] + ["", "\t"]
+    lines = spark.createDataFrame([(x,) for x in texts], "value string").coalesce(1)
+    got = pipe.pipe_text(lines.unionByName(lines.filter("false")), "cat; echo end", ["#head"], batch=7, numbered=True)
+    own = [r["value"] for r in got.orderBy("ord").collect() if r["value"] not in ("#head", "end")]
+    assert own == texts and got.filter("value = 'end'").first()["ord"] == len(texts) + 1
+    assert "MapInArrow" in plan(got) and "MapInPandas" not in plan(got)
