@@ -82,3 +82,13 @@ def test_lines_go_through_a_command_in_batches(spark):
     own = [r["value"] for r in got.orderBy("ord").collect() if r["value"] not in ("#head", "end")]
     assert own == texts and got.filter("value = 'end'").first()["ord"] == len(texts) + 1
     assert "MapInArrow" in plan(got) and "MapInPandas" not in plan(got)
+
+
+def test_mates_are_sorted_by_name_first(spark):
+    row = lambda s, f, flags, p, tags: (s, "g", "l", f, flags, "c", p, p + 3, 60, "4M", None, None, 0, "ACGT", "IIII", tags)
+    rows = [row(s, "f", flags, p, tags) for s in "ab" for flags, p, tags in [(99, 10, {"MC": "Z:9M", "NM": "i:1"}), (147, 50, None)]] + [row("a", "f", 0, 7, {"MC": "Z:1M"})]
+    result = fragments.mate_info(spark.createDataFrame(rows, FIELDS))
+    got = sorted((r["sample"], r["flags"], r["mate_pos"], r["tlen"], sorted((r["tags"] or {}).items())) for r in result.collect())
+    pair = lambda s: [(s, 99, 50, 44, [("MC", "Z:4M"), ("NM", "i:1")]), (s, 147, 10, -44, [("MC", "Z:4M")])]
+    assert got == sorted([("a", 0, None, 0, [("MC", "Z:1M")]), *pair("a"), *pair("b")])
+    assert "windowspecdefinition(frag" in plan(result)
