@@ -92,3 +92,10 @@ def test_mates_are_sorted_by_name_first(spark):
     pair = lambda s: [(s, 99, 50, 44, [("MC", "Z:4M"), ("NM", "i:1")]), (s, 147, 10, -44, [("MC", "Z:4M")])]
     assert got == sorted([("a", 0, None, 0, [("MC", "Z:1M")]), *pair("a"), *pair("b")])
     assert "windowspecdefinition(frag" in plan(result)
+
+
+def test_base_names_without_a_search(spark):
+    names = {"/d/x_1.fq": "x_1.fq", "x.fastq": "x.fastq", "/d/": "", "": "", "a//b": "b", "/d/x\n": "x\n", None: None}
+    df = spark.createDataFrame([(n,) for n in names], "path string").select("path", base_name(F.col("path")).alias("name"))
+    assert {r["path"]: r["name"] for r in df.collect()} == names
+    assert "regexp" not in plan(df)
