@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import unclipped_end, unclipped_start
 from strandlake.functions.naming import base_name
+from strandlake.llm import components
 from strandlake.operators import duplicates, fragments, pipe, qc
+from strandlake.sources.store import materialize
 
 FIELDS = ("sample string, rg_id string, library string, frag string, flags int, contig string, pos long, end long, mapq int, cigar string, "
           "mate_contig string, mate_pos long, tlen long, bases string, quals string, tags map<string,string>")
@@ -99,3 +101,16 @@ def test_base_names_without_a_search(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string").select("path", base_name(F.col("path")).alias("name"))
     assert {r["path"]: r["name"] for r in df.collect()} == names
     assert "regexp" not in plan(df)
+
+
+def test_few_edges_are_worked_on_in_few_tasks(spark, monkeypatch):
+    written = []
+    keep = lambda df, name="stage": written.append(df.rdd.getNumPartitions()) or materialize(df, name)
+    monkeypatch.setattr(components, "materialize", keep)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {tuple(r) for r in components.components(spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {(k, 0) for k in range(51)}
+    assert len(written) > 2 and set(written[1:]) == {1}
