@@ -61,3 +61,15 @@ def test_region_store_has_no_folder_per_bin(spark, tmp_path):
     found = store.read_region(spark, str(tmp_path / "r"), "chr1", 500, 900)
     wanted = rows.filter("contig = 'chr1' and pos <= 900 and `end` >= 500")
     assert found.select(*rows.columns).exceptAll(wanted).isEmpty() and found.count() == wanted.count() > 0
+
+
+def test_placements_are_alignments_without_letters(spark):
+    sources = {"lineitem": _lineitem(spark), "orders": spark.createDataFrame([(i,) for i in range(400)], "o_orderkey bigint"),
+               "part": spark.createDataFrame([], "p_partkey bigint, p_size int, p_brand string, p_retailprice double"),
+               "supplier": spark.createDataFrame([], "s_suppkey bigint"),
+               "events": spark.createDataFrame([], "event_id bigint, event_type string, user_id bigint, value double, ts timestamp")}
+    found = t.derived(spark, sources, "placements", True)
+    wanted = spark.sql(t._spark_text("alignments", True), **sources).drop("bases", "quals", "truth")
+    assert found.dtypes == wanted.select(*found.columns).dtypes and set(found.columns) == set(wanted.columns)
+    assert found.count() == wanted.count() > 3000
+    assert found.exceptAll(wanted.select(*found.columns)).isEmpty()

@@ -167,7 +167,7 @@ def region_store(spark, sf):
 
 @query("region_filter", t.duck(REGION_SQL))
 def region_filter(spark, sf):
-    return store.region(t.alignments(spark, sf), *REGION).select("frag", "flags", "pos", "end")
+    return store.region(t.placements(spark, sf), *REGION).select("frag", "flags", "pos", "end")
 
 
 FILE_NAMES = """concat('/data/', sample, '/', frag, case when mate = 0 then '.fastq' when substr(md5(frag), 1, 1) < '8' then concat('_', mate, '.fq')
