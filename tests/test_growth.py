@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import unclipped_end, unclipped_start
 from strandlake.functions.naming import base_name
-from strandlake.llm import components
-from strandlake.operators import duplicates, fragments, pipe, qc
+from strandlake.llm import components, filter_audit
+from strandlake.operators import coordinates, duplicates, fragments, pipe, qc
 from strandlake.sources.store import materialize
 
 FIELDS = ("sample string, rg_id string, library string, frag string, flags int, contig string, pos long, end long, mapq int, cigar string, "
@@ -114,3 +114,25 @@ def test_few_edges_are_worked_on_in_few_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {(k, 0) for k in range(51)}
     assert len(written) > 2 and set(written[1:]) == {1}
+
+
+def test_small_files_of_much_text_are_not_broadcast(spark):
+    """Files far below Spark's broadcast limit whose text, once for each salt, is far above it."""
+    tiles = spark.range(2_500).select(F.lit("one").alias("contig"), F.col("id").alias("tile"), (F.col("id") * 4096 + 1).alias("start"), F.lit("ACGT" * 1280).alias("bases"))
+    stored = materialize(tiles, "tiles")
+    rows = spark.range(0, 2_500 * 4096, 4099).select(F.lit("one").alias("contig"), (F.col("id") + 1).alias("pos"))
+    found = coordinates.attach_reference(rows, stored, ["pos"], length=3, name="found")
+    assert "BroadcastHashJoin" not in plan(found) and "SortMergeJoin" in plan(found)
+    assert found.filter(F.col("found") != F.substring(F.lit("ACGTACG"), ((F.col("pos") - 1) % 4).cast("int") + 1, F.lit(3))).isEmpty()
+    assert found.count() == rows.count()
+    few = coordinates.attach_reference(rows, materialize(tiles.limit(20), "tiles"), ["pos"], name="found")
+    assert "BroadcastHashJoin" in plan(few) and "explode" not in plan(few).split("== Physical Plan ==")[1]
+
+
+def test_labels_in_a_small_file_are_not_broadcast(spark):
+    """More doc_ids than may be broadcast, in a file that Spark takes for small."""
+    labels = materialize(spark.range(60_000).select(F.format_string("d%09d", "id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")), "labels")
+    failed = spark.range(0, 120_000, 7).select(F.format_string("d%09d", "id").alias("doc_id"), F.lit("en").alias("part"))
+    known = filter_audit.with_labels(failed, labels)
+    assert "BroadcastHashJoin" not in plan(known)
+    assert known.groupBy("good", "toxic").count().orderBy("good").collect() == [(0, 0, 8571), (1, 0, 8572)]
