@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import unclipped_end, unclipped_start
 from strandlake.functions.naming import base_name
 from strandlake.llm import components, filter_audit
-from strandlake.operators import coordinates, duplicates, fragments, pipe, qc
+from strandlake.operators import alignment, coordinates, duplicates, fragments, pipe, qc
 from strandlake.sources.store import materialize
 
 FIELDS = ("sample string, rg_id string, library string, frag string, flags int, contig string, pos long, end long, mapq int, cigar string, "
@@ -136,3 +136,15 @@ def test_labels_in_a_small_file_are_not_broadcast(spark):
     known = filter_audit.with_labels(failed, labels)
     assert "BroadcastHashJoin" not in plan(known)
     assert known.groupBy("good", "toxic").count().orderBy("good").collect() == [(0, 0, 8571), (1, 0, 8572)]
+
+
+def test_seeds_are_not_broadcast(spark):
+    """A stored table of few sequences makes many seeds, which Spark takes for as small as the table."""
+    sequences = materialize(spark.range(50).select("id", F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40).alias("hex")).select(
+        "id", F.translate("hex", "0123456789abcdef", "ACGTACGTACGTACGT").alias("bases")), "sequences")
+    index = sequences.select(F.substring("bases", 1, 16).alias("kmer"), F.lit("one").alias("contig"), F.col("id").alias("pos"), F.lit(True).alias("fwd"))
+    met = alignment._met(alignment.seed_kmers(sequences, all_offsets=True), index, None, 1_000)
+    assert "BroadcastHashJoin" not in plan(met) and "SortMergeJoin" in plan(met)
+    hot = alignment.hot_kmers(index, 0).filter("kmer < 'G'")
+    both = alignment._met(alignment.seed_kmers(sequences, all_offsets=True), index, hot, 1)
+    assert sorted(met.drop("bases").collect()) == sorted(both.select(*met.drop("bases").columns).collect())
