@@ -4,6 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from strandlake.sources import fastq, lines, store
+from workload import formats
 from workload import tables as t
 
 LINEITEM = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_linestatus string, l_returnflag string"
@@ -73,3 +74,50 @@ def test_placements_are_alignments_without_letters(spark):
     assert found.dtypes == wanted.select(*found.columns).dtypes and set(found.columns) == set(wanted.columns)
     assert found.count() == wanted.count() > 3000
     assert found.exceptAll(wanted.select(*found.columns)).isEmpty()
+
+
+def _tables(spark, folder, odd: bool):
+    lineitem = _lineitem(spark).distinct().filter("true" if odd else t.PLAIN)
+    lineitem.coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(400)], "o_orderkey bigint").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    for name, schema in (("part", "p_partkey bigint, p_size int, p_brand string, p_retailprice double"), ("supplier", "s_suppkey bigint"),
+                         ("events", "event_id bigint, event_type string, user_id bigint, value double, ts timestamp")):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def _written(spark, name):
+    """Files below the scratch folder of tables whose name begins with ``name``."""
+    root = store.scratch_root(spark).removeprefix("file:")
+    return {os.path.join(d, f) for top in os.listdir(root) if top.startswith(name) for d, _, files in os.walk(f"{root}/{top}") for f in files if f.startswith("part-")}
+
+
+def test_rows_read_once_are_not_stored_and_text_is_compressed(spark, tmp_path):
+    sf = _tables(spark, tmp_path, odd=False)
+    before = {name: _written(spark, name) for name in ("derived-reads", "derived-alignments", "fastq", "interleaved")}
+    found, pairs = formats.fastq_reads(spark, sf), formats.fastq_interleaved(spark, sf)
+    assert t.alignments_once(spark, sf).count() > 3000
+    new = {name: _written(spark, name) - had for name, had in before.items()}
+    assert not new["derived-reads"] and not new["derived-alignments"]
+    assert new["fastq"] and new["interleaved"] and all(f.endswith(".gz") for f in new["fastq"] | new["interleaved"])
+    reads = t.reads(spark, sf)
+    assert sorted(found.collect()) == sorted(reads.select("frag", "mate", "bases", "quals").collect())
+    assert pairs.count() == reads.filter("mate = 2").select("frag").count()
+    assert sorted(t.alignments_once(spark, sf).drop("tags").collect(), key=str) == sorted(t.alignments(spark, sf).drop("tags").collect(), key=str)
+
+
+def test_rows_that_follow_the_sql_are_stored(spark, tmp_path):
+    sf = _tables(spark, tmp_path, odd=True)
+    before = _written(spark, "derived-reads")
+    rows = t.streamed(spark, sf, "reads")
+    assert _written(spark, "derived-reads") - before
+    assert rows.exceptAll(t.reads(spark, sf)).isEmpty() and t.reads(spark, sf).exceptAll(rows).isEmpty()
+
+
+def test_compressed_parts_are_ingested(spark, tmp_path):
+    sf = _tables(spark, tmp_path, odd=False)
+    before = _written(spark, "ingest")
+    found = formats.incremental_ingest(spark, sf)
+    new = _written(spark, "ingest") - before
+    assert new and not [f for f in new if f.endswith((".txt", ".snappy.parquet"))]
+    assert sorted(found.collect()) == sorted(t.reads(spark, sf).select("frag", "mate", "bases", "quals").collect())
