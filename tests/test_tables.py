@@ -3,8 +3,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from strandlake.operators import duplicates
 from strandlake.sources import fastq, lines, store
-from workload import formats
+from workload import formats, genome
 from workload import tables as t
 
 LINEITEM = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_linestatus string, l_returnflag string"
@@ -121,3 +122,14 @@ def test_compressed_parts_are_ingested(spark, tmp_path):
     new = _written(spark, "ingest") - before
     assert new and not [f for f in new if f.endswith((".txt", ".snappy.parquet"))]
     assert sorted(found.collect()) == sorted(t.reads(spark, sf).select("frag", "mate", "bases", "quals").collect())
+
+
+def test_marking_stores_the_columns_that_it_reads(spark, tmp_path):
+    sf = _tables(spark, tmp_path, odd=False)
+    before = _written(spark, "derived-alignments"), _written(spark, "templates")
+    found = genome.duplicate_flags(spark, sf)
+    assert not _written(spark, "derived-alignments") - before[0]
+    stored = spark.read.parquet(*_written(spark, "templates") - before[1])
+    assert "quals" in stored.columns and not {"bases", "tags", "mate_contig"} & {*stored.columns}
+    wanted = duplicates.mark_duplicates(t.alignments(spark, sf)).select(*found.columns)
+    assert sorted(found.collect(), key=str) == sorted(wanted.collect(), key=str)
