@@ -4,6 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from strandlake.operators import duplicates
+from strandlake.plans import germline
 from strandlake.sources import fastq, lines, store
 from workload import formats, genome
 from workload import tables as t
@@ -133,3 +134,32 @@ def test_marking_stores_the_columns_that_it_reads(spark, tmp_path):
     assert "quals" in stored.columns and not {"bases", "tags", "mate_contig"} & {*stored.columns}
     wanted = duplicates.mark_duplicates(t.alignments(spark, sf)).select(*found.columns)
     assert sorted(found.collect(), key=str) == sorted(wanted.collect(), key=str)
+
+
+def test_spent_stages_are_removed(spark, tmp_path):
+    """Only the recalibrated rows, and the stages that were asked for, are left of a run."""
+    sf = _tables(spark, tmp_path, odd=False)
+    tiles, snps, rows = t.ref_tiles(spark, sf), t.snps(spark, sf), t.alignments(spark, sf)
+    before, had = set(os.listdir(store.scratch_root(spark))), list(store._WRITTEN)
+    found = germline.finish_alignment(rows, tiles, snps).collect()
+    new = set(os.listdir(store.scratch_root(spark))) - before
+    assert [name.split("-")[0] for name in new] == ["recalibrated"] and len(store._WRITTEN) == len(had) + 1
+    staged = germline.finish_alignment(rows, tiles, snps, intermediate=str(tmp_path / "run"))
+    assert {p.name for p in tmp_path.glob("run_*")} == {"run_aligned", "run_sorted", "run_marked"}
+    kept = set(os.listdir(store.scratch_root(spark))) - before - new
+    assert [name.split("-")[0] for name in kept] == ["recalibrated"]
+    assert sorted(map(str, staged.collect())) == sorted(map(str, found)) and len(found) == rows.count()
+    order = [(r["contig"] is None, r["contig"] or "", r["pos"] or 0, r["frag"], r["flags"]) for r in found]
+    assert order == sorted(order)
+
+
+def test_scratch_of_a_failed_step_is_removed(spark):
+    before = set(os.listdir(store.scratch_root(spark)))
+    try:
+        with store.scratch_removed(spark):
+            store.materialize(spark.range(5), "inner")
+            raise KeyError
+    except KeyError:
+        pass
+    assert set(os.listdir(store.scratch_root(spark))) == before
+    assert store.materialize(spark.range(5), "outer").count() == 5
